@@ -134,7 +134,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "input_tokens": n_in,
                 "output_tokens": n_out,
                 "started_at": started,
-                "ended_at": F.timestamp_micros(F.unix_micros(started) + F.col("latency_u") * 10),
+                "ended_at": F.timestamp_micros(F.unix_micros(started) + F.col("latency_u") * 10 + c % 10),
                 "raw": F.to_json(
                     F.struct(
                         told.alias("message"),
@@ -213,10 +213,14 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_results(table(spark, sf_dir, "events"))
+
+
+def as_results(events: DataFrame) -> DataFrame:
     """Events read as scored answers: one run per day, one model per event type."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.date_format("ts", "yyyy-MM-dd").alias("run_id"),
         F.concat(F.lit("ev_"), e.cast("string")).alias("sample_id"),
         F.col("event_type").alias("model_name"),
@@ -266,3 +270,22 @@ def lineitem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             day(r).alias("completed_at"),
         )
     )
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifecycle events of the runs; the last two of a finished run fall on one instant."""
+    stages = F.array(
+        F.struct(F.lit("pending").alias("status"), F.col("created_at").alias("at")),
+        F.struct(F.lit("running").alias("status"), F.col("started_at").alias("at")),
+        F.struct(F.lit("running").alias("status"), F.col("completed_at").alias("at")),
+        F.struct(
+            F.when(F.col("status").isin("completed", "failed"), F.col("status")).alias("status"),
+            F.col("completed_at").alias("at"),
+        ),
+    )
+    return (
+        runs(spark, sf_dir)
+        .select("run_id", F.explode(stages).alias("e"))
+        .select("run_id", "e.*")
+        .filter("at IS NOT NULL AND status IS NOT NULL")
+    )

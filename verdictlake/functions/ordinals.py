@@ -40,6 +40,13 @@ def number_rows(
     )
 
 
+def first_per_group(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
+    """The first row of each group. Every task keeps only its own first row of a group
+    before the shuffle, so a group of any size costs one row per task."""
+    place = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") == 1).drop("_place")
+
+
 def trailing_sum(
     df: DataFrame, keys: Sequence[str], ordinal: str, value: str, size: int, total: str, count: str
 ) -> DataFrame:

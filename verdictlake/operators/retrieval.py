@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdictlake import schemas
 from verdictlake.functions import exact
+from verdictlake.functions.ordinals import first_per_group
 
 # Fixed values of the data model.
 ALL = "all"
@@ -75,15 +76,9 @@ def result_availability(requested: DataFrame, runs: DataFrame) -> DataFrame:
 
 def recent_runs(seen: DataFrame, limit: int = RECENT_RUNS) -> DataFrame:
     """The latest entry of each run by ``seen_at``, newest first, at most ``limit``."""
-    fields = ["dataset", "models", "created_at"]
-    latest = seen.groupBy("run_id").agg(
-        F.max("seen_at").alias("seen_at"), F.max_by(F.struct(*fields), "seen_at").alias("_run")
-    )
-    return (
-        latest.orderBy(F.col("seen_at").desc(), F.col("run_id").desc())
-        .limit(limit)
-        .select("run_id", "_run.*", "seen_at")
-    )
+    latest = first_per_group(seen, ["run_id"], F.col("seen_at").desc())
+    newest = latest.orderBy(F.col("seen_at").desc(), F.col("run_id").desc()).limit(limit)
+    return newest.select("run_id", "dataset", "models", "created_at", "seen_at")
 
 
 def score_table(results: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictlake.functions import exact
-from verdictlake.functions.ordinals import number_rows, trailing_sum
+from verdictlake.functions.ordinals import first_per_group, number_rows, trailing_sum
 
 # Fixed values of the drift rule: runs looked back on, and the tolerated loss in percent.
 LOOK_BACK = 5
@@ -57,9 +57,7 @@ def accuracy_drift(points: DataFrame, slice_days: int = 30) -> DataFrame:
 
 def latest_drift(drift: DataFrame) -> DataFrame:
     """The drift row of the last run of each series."""
-    fields = [c for c in drift.columns if c not in SERIES]
-    last = F.max_by(F.struct(*fields), F.struct("start_time", "run_id")).alias("_last")
-    return drift.groupBy(*SERIES).agg(last).select(*SERIES, "_last.*")
+    return first_per_group(drift, SERIES, F.col("start_time").desc(), F.col("run_id").desc())
 
 
 def latency_trend(points: DataFrame) -> DataFrame:
@@ -78,8 +76,8 @@ def halluc_trend(points: DataFrame) -> DataFrame:
 
 def latest_point(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The last point by x of each series; of several at one x the one with the last run id."""
-    last = F.max_by(F.struct("x", "run_id", "y"), F.struct("x", "run_id")).alias("_last")
-    return series.groupBy(*keys).agg(last).select(*keys, "_last.*")
+    timed = series.filter(F.col("x").isNotNull()).select(*keys, "x", "run_id", "y")
+    return first_per_group(timed, keys, F.col("x").desc(), F.col("run_id").desc())
 
 
 def series_extent(

@@ -15,13 +15,19 @@ _FORM = {
     "ignoreTrailingWhiteSpace": "false",
 }
 
+# A file with line breaks inside values is read back by one task, so files stay small.
+ROWS_PER_FILE = 200000
+
 
 def write_csv(results: DataFrame, path: str, one_file: bool = False) -> None:
     """All result columns. One file is written by one task, so ask for it on small results only."""
     out = results.select(*schemas.RESULT_COLUMNS)
     if one_file:
         out = out.coalesce(1)
-    out.write.mode("overwrite").options(**_FORM).csv(path)
+    writer = out.write.mode("overwrite").options(**_FORM)
+    if not one_file:
+        writer = writer.option("maxRecordsPerFile", ROWS_PER_FILE)
+    writer.csv(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -45,7 +45,8 @@ def replace_results(saved_runs: DataFrame, results: DataFrame, path: str) -> Non
     """
     columns = schemas.STORED_RESULT.fieldNames()
     filled = results.select(*columns)
-    empty = saved_runs.select("run_id").distinct().join(filled.select("run_id"), "run_id", "left_anti")
+    answered = filled.select("run_id").distinct()
+    empty = saved_runs.select("run_id").distinct().join(answered, "run_id", "left_anti")
     marker = empty.select(
         "run_id",
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.STORED_RESULT if f.name != "run_id"],

@@ -29,8 +29,19 @@ def parse_suites(files: DataFrame) -> DataFrame:
     names = schemas.SUITE_ITEM.fieldNames()
     domain, difficulty = DEFAULT_DOMAIN, DEFAULT_DIFFICULTY
 
+    def yaml_loader():
+        # Without the yaml package, the JSON subset of YAML is read.
+        try:
+            import yaml
+        except ImportError:
+            import json
+
+            return lambda content: json.loads(content) if content.strip() else None
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        return lambda content: yaml.load(content, Loader=loader)
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        load = _yaml_loader()
+        load = yaml_loader()
         required = {"id": "sample_id", "prompt": "prompt", "expected": "expected"}
 
         def text(value):
@@ -69,18 +80,6 @@ def parse_suites(files: DataFrame) -> DataFrame:
     return files.select("file", "text").mapInPandas(parse, schemas.SUITE_ITEM)
 
 
-def _yaml_loader():
-    """A safe YAML reader; without the yaml package, the JSON subset of YAML is read."""
-    try:
-        import yaml
-    except ImportError:
-        import json
-
-        return lambda content: json.loads(content) if content.strip() else None
-    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-    return lambda content: yaml.load(content, Loader=loader)
-
-
 def good_items(items: DataFrame) -> DataFrame:
     return items.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 

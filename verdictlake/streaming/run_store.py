@@ -8,17 +8,28 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from verdictlake import schemas
+from verdictlake.functions.ordinals import first_per_group
 from verdictlake.operators.metrics import metrics_timeseries
 from verdictlake.sources.store import overwrite_partitions, read_or_empty
 
 ANSWER = ("run_id", "sample_id", "model_name")
 
 
+# Up to this many runs of a micro-batch are named one by one, which prunes the log to
+# their directories; with more of them the log is joined instead.
+NAMED_RUNS = 1000
+
+
 def latest_answers(log: DataFrame) -> DataFrame:
     """One row per (run, sample, model): the one of the highest ``saved_seq``."""
-    rest = [c for c in log.columns if c not in ANSWER]
-    newest = F.max_by(F.struct(*rest), F.struct("saved_seq", "batch")).alias("_row")
-    return log.groupBy(*ANSWER).agg(newest).select(*ANSWER, "_row.*")
+    return first_per_group(log, ANSWER, F.col("saved_seq").desc(), F.col("batch").desc())
+
+
+def _of_runs(log: DataFrame, touched: DataFrame) -> DataFrame:
+    some = [row.run_id for row in touched.limit(NAMED_RUNS + 1).collect()]
+    if len(some) <= NAMED_RUNS:
+        return log.filter(F.col("run_id").isin(some))
+    return log.join(touched, "run_id", "left_semi")
 
 
 def stream_run_store(
@@ -47,7 +58,7 @@ def stream_run_store(
             batch.withColumn("batch", F.lit(number).cast("bigint")), log, "run_id", "batch"
         )
         touched = batch.select("run_id").distinct()
-        kept = spark.read.schema(logged).parquet(log).join(touched, "run_id", "left_semi")
+        kept = _of_runs(spark.read.schema(logged).parquet(log), touched)
         overwrite_partitions(metrics_timeseries(latest_answers(kept), runs), points, "run_id")
 
     return (

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdictlake.session import spread_small
+
 # Characters kept of each side, the separator, the class order, and the
 # class that counts as a hallucination.
 KEPT_CHARS = 500
@@ -75,4 +77,4 @@ def with_class_scores(
         for texts in batches:
             yield classify(texts)[names].astype("float64").reset_index(drop=True)
 
-    return df.withColumn("_scores", infer(text)).select(*df.columns, "_scores.*")
+    return spread_small(df).withColumn("_scores", infer(text)).select(*df.columns, "_scores.*")

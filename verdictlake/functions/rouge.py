@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictlake.functions.exact import rounded_ratio_units, unscaled
+from verdictlake.session import spread_small
 
 # What separates tokens, and the overlap each score is built on
 # (an n-gram length, or the longest common subsequence).
@@ -81,7 +82,7 @@ def with_rouge(
     def joined(column: str) -> Column:
         return F.coalesce(F.array_join(column, " "), F.lit(""))
 
-    tokenized = df.withColumns({"_ref": tokens(F.col(reference)), "_ans": tokens(F.col(answer))})
+    tokenized = spread_small(df).withColumns({"_ref": tokens(F.col(reference)), "_ans": tokens(F.col(answer))})
     counted = tokenized.withColumns(
         {
             "_overlap": _overlap_udf(kinds)(joined("_ref"), joined("_ans")),

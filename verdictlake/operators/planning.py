@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from verdictlake import schemas
 from verdictlake.functions import exact
 from verdictlake.operators.ingest import smoke_limit
+from verdictlake.session import spread_small
 
 CALL_KEYS = ("run_id", "sample_id", "model_name")
 
@@ -142,8 +143,8 @@ def batch_generate(
             for batch in batches:
                 system = batch[system_prompt].fillna("") if system_prompt else [""] * len(batch)
                 calls = zip(batch["model_name"], batch["prompt"], system)
-                replies = pd.DataFrame(list(pool.map(ask, calls)), columns=fields)
+                replies = pd.DataFrame(list(pool.map(ask, calls)), columns=fields, dtype=object)
                 replies.index = batch.index
                 yield pd.concat([batch[columns], replies], axis=1)
 
-    return plan.mapInPandas(ask_all, schema)
+    return spread_small(plan).mapInPandas(ask_all, schema)

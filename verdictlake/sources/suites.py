@@ -42,6 +42,7 @@ def parse_suites(files: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         load = yaml_loader()
+        empty = dict.fromkeys(names)
         required = {"id": "sample_id", "prompt": "prompt", "expected": "expected"}
 
         def text(value):
@@ -51,13 +52,13 @@ def parse_suites(files: DataFrame) -> DataFrame:
             try:
                 items = load(content) or []
             except Exception as problem:
-                yield {"file": file, "reject_reason": f"unreadable: {type(problem).__name__}"}
+                yield empty | {"file": file, "reject_reason": f"unreadable: {type(problem).__name__}"}
                 return
             if not isinstance(items, list):
-                yield {"file": file, "reject_reason": "not a list"}
+                yield empty | {"file": file, "reject_reason": "not a list"}
                 return
             for pos, item in enumerate(items):
-                row = {"file": file, "pos": pos}
+                row = empty | {"file": file, "pos": pos}
                 if not isinstance(item, dict):
                     yield row | {"reject_reason": "not a mapping"}
                     continue
@@ -73,9 +74,7 @@ def parse_suites(files: DataFrame) -> DataFrame:
 
         for batch in batches:
             found = [r for f, c in zip(batch["file"], batch["text"]) for r in rows(f, c)]
-            out = pd.DataFrame(found, columns=names)
-            out["pos"] = out["pos"].astype("Int64")
-            yield out
+            yield pd.DataFrame(found, columns=names, dtype=object)
 
     return files.select("file", "text").mapInPandas(parse, schemas.SUITE_ITEM)
 

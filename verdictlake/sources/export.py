@@ -31,4 +31,6 @@ def write_csv(results: DataFrame, path: str, one_file: bool = False) -> None:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RESULT).options(**_FORM, multiLine="true").csv(path)
+    # A value that no text has stands for null, so that an empty text is read as it was.
+    form = {**_FORM, "multiLine": "true", "nullValue": "\u0000"}
+    return spark.read.schema(schemas.RESULT).options(**form).csv(path)

@@ -327,6 +327,13 @@ def _(spark, sf):
     return planning.attach_responses(_plan(spark, sf), d.responses(spark, sf))
 
 
+@query("b2_answers")
+def _(spark, sf):
+    s = d.samples(spark, sf).select("dataset", "file", "pos", *SAMPLE_COLUMNS[:4])
+    out = planning.answers(s, d.runs(spark, sf), d.responses(spark, sf))
+    return out.drop("dataset", "file", "pos")
+
+
 @query("b3_failed_calls")
 def _(spark, sf):
     return planning.failed_calls(_plan(spark, sf), d.responses(spark, sf)).select(

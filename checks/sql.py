@@ -265,6 +265,7 @@ FROM placed p, models, (VALUES ('false'), ('true')) k(kind) WHERE kind = 'false'
 ORACLES["b2_response_attach"] = f"""WITH {RESPONSES}
 SELECT run_id, sample_id, prompt, expected, domain, model_name, response_text, latency_ms,
   coalesce(input_tokens, 0) AS input_tokens, output_tokens, 0.0::DOUBLE AS estimated_cost_usd FROM responses"""
+ORACLES["b2_answers"] = ORACLES["b2_response_attach"]
 ORACLES["b3_failed_calls"] = f"""WITH {PLANNED}
 SELECT run_id, sample_id, model_name FROM planned WHERE (c * 7 + t * 3 + m * 5) % 23 = 0"""
 ORACLES["b3_call_coverage"] = f"""WITH {PLANNED}

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from verdictlake.functions.exact import idiv
 
-# Buckets per doubling of the value: a bucket spans about 0.3% of its value.
-BUCKETS_PER_OCTAVE = 256
+# Buckets per doubling of the value: a bucket spans about 2% of its value, and a group has
+# fewer than a thousand of them up to values of 2**30.
+BUCKETS_PER_OCTAVE = 32
 
 Rank = Callable[[Column], Column]
 
@@ -42,18 +43,25 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str,
         present = present & F.col(key).isNotNull()
     counts = (
         df.filter(present)
-        .select(*keys, F.col(value).alias("_v"), value_bucket(F.col(value)).alias("_bucket"))
-        .groupBy(*keys, "_bucket", "_v")
+        .select(*keys, F.col(value).alias("_v"))
+        .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_cnt"))
+        .withColumn("_bucket", value_bucket(F.col("_v")))
     )
 
-    group = Window.partitionBy(*keys)
-    ordered = group.orderBy("_bucket")
+    # Both frames share one order, so the buckets of a group are sorted once.
+    ordered = Window.partitionBy(*keys).orderBy("_bucket")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     buckets = (
         counts.groupBy(*keys, "_bucket")
         .agg(F.sum("_cnt").alias("_in_bucket"))
-        .withColumn("n", F.sum("_in_bucket").over(group))
-        .withColumn("_before", F.sum("_in_bucket").over(ordered) - F.col("_in_bucket"))
+        .withColumns(
+            {
+                "n": F.sum("_in_bucket").over(whole),
+                "_before": F.sum("_in_bucket").over(so_far) - F.col("_in_bucket"),
+            }
+        )
     )
     n = F.col("n")
     wanted = F.lit(False)
@@ -63,7 +71,11 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str,
         )
     targets = buckets.filter(wanted).select(*keys, "_bucket", "_before", "n")
 
-    in_order = Window.partitionBy(*keys, "_bucket").orderBy("_v")
+    in_order = (
+        Window.partitionBy(*keys, "_bucket")
+        .orderBy("_v")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     placed = (
         counts.join(targets, [*keys, "_bucket"])
         .withColumn("_end", F.col("_before") + F.sum("_cnt").over(in_order))

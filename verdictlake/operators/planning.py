@@ -45,7 +45,40 @@ def attach_responses(
 ) -> DataFrame:
     """Answered calls: sample fields with reply fields; missing token counts are 0, the cost is 0."""
     replies = responses.select(*keys, "response_text", "latency_ms", "input_tokens", "output_tokens")
-    return plan.join(replies, list(keys)).withColumns(
+    return _filled(plan.join(replies, list(keys)))
+
+
+def answered_calls(replies: DataFrame) -> DataFrame:
+    """Replies of ``batch_generate`` that did not fail, as answers."""
+    return _filled(replies.filter(F.col("error").isNull()))
+
+
+def answers(samples: DataFrame, runs: DataFrame, responses: DataFrame) -> DataFrame:
+    """The rows of ``attach_responses(eval_plan(samples, runs), responses)`` without forming the plan.
+
+    A plan repeats the texts of a sample for every run and model. Here a reply finds its
+    run first and then its sample, so each sample is moved once, however often it was asked.
+    """
+    smoke = F.coalesce("smoke_test", F.lit(False)) if "smoke_test" in runs.columns else F.lit(False)
+    wanted = runs.select("run_id", "dataset", "models", smoke.alias("_smoke"))
+    replies = (
+        responses.select(*CALL_KEYS, "response_text", "latency_ms", "input_tokens", "output_tokens")
+        .join(wanted, "run_id")
+        .filter(F.array_contains("models", F.col("model_name")))
+        .drop("models")
+    )
+
+    def matched(of: DataFrame, chosen: DataFrame) -> DataFrame:
+        return of.join(chosen.drop("_smoke"), ["dataset", "sample_id"])
+
+    found = matched(samples, replies.filter(~F.col("_smoke")))
+    if "smoke_test" in runs.columns:
+        found = found.unionByName(matched(smoke_limit(samples), replies.filter(F.col("_smoke"))))
+    return _filled(found)
+
+
+def _filled(answered: DataFrame) -> DataFrame:
+    return answered.withColumns(
         {
             "input_tokens": F.coalesce("input_tokens", F.lit(0)),
             "output_tokens": F.coalesce("output_tokens", F.lit(0)),

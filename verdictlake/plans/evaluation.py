@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictlake.operators.ingest import accepted, rejected, validate_requests
-from verdictlake.operators.planning import attach_responses, batch_generate, eval_plan, failed_calls
+from verdictlake.operators.planning import (
+    answered_calls,
+    answers,
+    batch_generate,
+    eval_plan,
+    failed_calls,
+)
 from verdictlake.operators.scoring import score_with_classifier, score_with_logits
 from verdictlake.sources.scratch import saved
 from verdictlake.sources.store import replace_results, save_runs
@@ -31,8 +37,9 @@ def evaluate_captured(
     """Evaluate replies and class scores that were captured elsewhere."""
     checked = validate_requests(requests, catalog)
     runs = _runs(checked)
-    plan = eval_plan(samples, runs)
-    results = score_with_logits(attach_responses(plan, responses), class_scores)
+    # The plan is kept to its keys; texts join the replies directly.
+    plan = eval_plan(samples.select("dataset", "file", "pos", "sample_id"), runs)
+    results = score_with_logits(answers(samples, runs, responses), class_scores)
     return Evaluation(runs, rejected(checked), plan, failed_calls(plan, responses), results)
 
 
@@ -44,15 +51,8 @@ def evaluate_live(
     runs = _runs(checked)
     plan = eval_plan(samples, runs)
     replies = saved(batch_generate(plan, make_client), "replies")
-    answered = replies.filter(F.col("error").isNull()).withColumns(
-        {
-            "input_tokens": F.coalesce("input_tokens", F.lit(0)),
-            "output_tokens": F.coalesce("output_tokens", F.lit(0)),
-            "estimated_cost_usd": F.lit(0.0),
-        }
-    )
     failed = replies.filter(F.col("error").isNotNull()).select(*plan.columns, "error")
-    return Evaluation(runs, rejected(checked), plan, failed, score_with_classifier(answered, load_classifier))
+    return Evaluation(runs, rejected(checked), plan, failed, score_with_classifier(answered_calls(replies), load_classifier))
 
 
 def _runs(checked: DataFrame) -> DataFrame:

@@ -21,20 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(names: list[str], index: Column) -> Column:
+def pick(names: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (index + 1).cast("int"))
 
 
-def _run_of(conv: Column) -> Column:
+def run_number(conv: Column) -> Column:
     return F.floor(conv / 12).cast("bigint")
 
 
-def _run_id(run: Column) -> Column:
+def run_name(run: Column) -> Column:
     return F.concat(F.lit("run_"), F.lpad(run.cast("string"), 4, "0"))
 
 
 def _dataset(run: Column) -> Column:
-    return F.concat(F.lit("datasets/"), _pick(DATASETS, run % 3))
+    return F.concat(F.lit("datasets/"), pick(DATASETS, run % 3))
 
 
 def day(number: Column) -> Column:
@@ -53,13 +53,13 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("_", F.lit("cv"), c, t).alias("sample_id"),
         "prompt",
         "expected",
-        _pick(DOMAINS, c % 3).alias("domain"),
-        F.array(_pick(DOMAINS, c % 3), F.concat(F.lit("turn_"), t.cast("string"))).alias("tags"),
-        _pick(DIFFICULTIES, t % 3).alias("difficulty"),
-        _dataset(_run_of(c)).alias("dataset"),
-        F.concat(_dataset(_run_of(c)), F.lit("/suite_"), (c % 4).cast("string"), F.lit(".yaml")).alias("file"),
+        pick(DOMAINS, c % 3).alias("domain"),
+        F.array(pick(DOMAINS, c % 3), F.concat(F.lit("turn_"), t.cast("string"))).alias("tags"),
+        pick(DIFFICULTIES, t % 3).alias("difficulty"),
+        _dataset(run_number(c)).alias("dataset"),
+        F.concat(_dataset(run_number(c)), F.lit("/suite_"), (c % 4).cast("string"), F.lit(".yaml")).alias("file"),
         (c * 1000 + t).alias("pos"),
-        _run_id(_run_of(c)).alias("run_id"),
+        run_name(run_number(c)).alias("run_id"),
         c.alias("c"),
         t.alias("t"),
     )
@@ -78,10 +78,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     minute = F.expr("interval 1 minute")
     return (
         table(spark, sf_dir, "conversations")
-        .select(_run_of(F.col("conv_id")).alias("r"))
+        .select(run_number(F.col("conv_id")).alias("r"))
         .distinct()
         .select(
-            _run_id(r).alias("run_id"),
+            run_name(r).alias("run_id"),
             _dataset(r).alias("dataset"),
             F.when(r % 5 == 0, F.array(F.lit("gamma")))
             .otherwise(F.array(*[F.lit(m) for m in MODELS]))
@@ -97,13 +97,13 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sample with each model of its run: number ``m`` and name."""
-    r = _run_of(F.col("c"))
+    r = run_number(F.col("c"))
     numbers = F.when(r % 5 == 0, F.array(F.lit(2))).otherwise(F.array(*[F.lit(i) for i in range(4)]))
     return (
         samples(spark, sf_dir)
         .filter((r % 6 != 4) & (r % 12 != 11))
         .withColumn("m", F.explode(numbers))
-        .withColumn("model_name", _pick(MODELS, F.col("m")))
+        .withColumn("model_name", pick(MODELS, F.col("m")))
     )
 
 
@@ -178,7 +178,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((c * 31 + t * 7 + m * 11) % 10001 / 10000.0).alias("rouge1"),
         ((c * 37 + t * 13 + m * 17) % 10001 / 10000.0).alias("rouge2"),
         ((c * 41 + t * 19 + m * 23) % 10001 / 10000.0).alias("rougeL"),
-        _pick(["contradiction", "entailment", "neutral"], label).alias("nli_label"),
+        pick(["contradiction", "entailment", "neutral"], label).alias("nli_label"),
         ((c * 43 + t * 29 + m * 31) % 10001 / 10000.0).alias("nli_confidence"),
         (label == 0).alias("hallucination_flag"),
     )

@@ -169,7 +169,7 @@ def _(spark, sf):
 def _requests(spark, sf):
     """One request per conversation that starts with a user turn."""
     c = F.col("conv_id")
-    name = d._pick(DATASET_SPELLINGS, c % 7)
+    name = d.pick(DATASET_SPELLINGS, c % 7)
     models = F.slice(F.array(*[F.lit(m) for m in d.MODELS]), F.lit(1), (c % 4).cast("int"))
     return d.table(spark, sf, "conversations").filter("role = 'user'").select(
         F.concat_ws("_", F.lit("rq"), c, F.col("turn")).alias("request_id"),
@@ -239,7 +239,7 @@ def _(spark, sf):
 @query("a8_fence_strip")
 def _(spark, sf):
     i = F.col("doc_id")
-    tag = d._pick(["```yaml", "```", "```json", " \n```yaml"], i % 4)
+    tag = d.pick(["```yaml", "```", "```json", " \n```yaml"], i % 4)
     fenced = F.concat(tag, F.lit("\n"), F.col("text"), F.lit("\n```\t\n"))
     return d.table(spark, sf, "documents").select("doc_id", text.strip_fences(fenced).alias("text"))
 
@@ -571,7 +571,7 @@ def _(spark, sf):
     """Asked for by every conversation: its own run, or one that does not exist."""
     c = F.col("conv_id")
     number = F.when(c % 9 == 0, c + 100000).otherwise(F.floor(c / 12))
-    requested = d.table(spark, sf, "conversations").select("conv_id", "turn", d._run_id(number).alias("run_id"))
+    requested = d.table(spark, sf, "conversations").select("conv_id", "turn", d.run_name(number).alias("run_id"))
     return retrieval.result_availability(requested, d.runs(spark, sf)).drop("status")
 
 

@@ -55,6 +55,22 @@ def test_single_file_and_strict_load(spark, suite_dir):
         suites.strict_items(dirty).collect()
 
 
+def test_catalog_and_suites_below_a_root(spark, tmp_path):
+    for name in ("qa/b.yaml", "qa/a.yaml", "code/c.yaml"):
+        file = tmp_path / "sets" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(f"- {{id: {file.stem}, prompt: p, expected: e}}\n")
+    root = str(tmp_path / "sets")
+    paths = {"datasets/qa", "datasets/code", "datasets/qa/a.yaml", "datasets/qa/b.yaml", "datasets/code/c.yaml"}
+    assert {r.path for r in suites.suite_catalog(spark, root).collect()} == paths
+    samples = suites.load_suites(spark, root)
+    by_dataset = {}
+    for r in samples.orderBy("file", "pos").collect():
+        by_dataset.setdefault(r.dataset, []).append(r.sample_id)
+    assert by_dataset["datasets/qa"] == ["a", "b"] and by_dataset["datasets/qa/b.yaml"] == ["b"]
+    assert set(by_dataset) == paths
+
+
 def test_table_suites(spark, tmp_path):
     path = str(tmp_path / "suite.json")
     with open(path, "w") as out:

@@ -62,6 +62,9 @@ def _runs(checked: DataFrame) -> DataFrame:
 
 
 def store(spark: SparkSession, evaluation: Evaluation, runs: DataFrame, runs_path: str, results_path: str) -> None:
-    """Save run rows (with ``seq``) and the answers of those runs, replacing earlier saves."""
-    replace_results(runs.select("run_id"), evaluation.results, results_path)
+    """Save run rows (with ``seq``) and the answers of those runs, replacing earlier saves.
+
+    The scored answers are written once first, so that no answer is scored twice.
+    """
+    replace_results(runs.select("run_id"), saved(evaluation.results, "scored"), results_path)
     save_runs(spark, runs, runs_path)

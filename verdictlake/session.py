@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A join whose smaller side turns out to fit per task is hashed instead of sorted.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # Texts can be long, so an Arrow batch is kept to few rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }

@@ -9,7 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictlake import schemas
-from verdictlake.operators.ingest import DEFAULT_DIFFICULTY, DEFAULT_DOMAIN, rejected, suite_defaults
+from verdictlake.functions.text import posix_path
+from verdictlake.operators.ingest import (
+    DATASET_ROOT,
+    DEFAULT_DIFFICULTY,
+    DEFAULT_DOMAIN,
+    rejected,
+    suite_defaults,
+)
 
 YAML_FILES = "*.yaml"
 
@@ -97,8 +104,41 @@ def strict_items(items: DataFrame) -> DataFrame:
 
 
 def load_suite(spark: SparkSession, path: str) -> DataFrame:
-    """Good samples of a suite, with the file and place that give their order."""
-    return good_items(parse_suites(read_suite_files(spark, path)))
+    """Good samples of one suite, with the file and place that give their order."""
+    items = good_items(parse_suites(read_suite_files(spark, path)))
+    return items.withColumn("dataset", posix_path(F.lit(path)))
+
+
+def _files_under(spark: SparkSession, root: str) -> DataFrame:
+    """YAML files at any depth below ``root``, with the folder and file name a request may use."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    below = F.concat(F.lit(DATASET_ROOT), F.substring("path", len(full) + 1, 2**31 - 1))
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", YAML_FILES)
+        .load(root)
+    )
+    return files.withColumn("_file", below).withColumn("_folder", F.regexp_extract("_file", "^(.*)/", 1))
+
+
+def suite_catalog(spark: SparkSession, root: str) -> DataFrame:
+    """Every path below ``root`` that a request may name: suite folders and single files."""
+    names = F.explode(F.array("_folder", "_file")).alias("path")
+    return _files_under(spark, root).select(names).distinct()
+
+
+def load_suites(spark: SparkSession, root: str) -> DataFrame:
+    """Good samples of all suites below ``root`` in one job.
+
+    A sample is listed under its folder and under its file, the two datasets it is part of.
+    """
+    files = _files_under(spark, root).select(
+        F.col("_file").alias("file"), F.decode("content", "UTF-8").alias("text")
+    )
+    folder = F.regexp_extract("file", "^(.*)/", 1)
+    return good_items(parse_suites(files)).withColumn("dataset", F.explode(F.array(folder, F.col("file"))))
 
 
 def load_table_suite(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:

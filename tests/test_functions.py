@@ -216,6 +216,24 @@ def test_rouge_scores_can_be_asked_for_singly(spark):
     assert with_rouge(df, scores=["rougeL"]).columns == ["expected", "response_text", "rougeL"]
 
 
+def test_rouge_does_not_shuffle_a_large_table(spark, plan_of, monkeypatch):
+    from verdictlake.functions import rouge
+
+    monkeypatch.setattr(rouge, "spread_small", lambda df: df)
+    df = spark.range(5).select(F.lit("a b").alias("expected"), F.lit("a c").alias("response_text"))
+    plan = plan_of(with_rouge(df))
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_only_small_tables_are_spread(spark, plan_of):
+    from verdictlake.session import spread_small
+
+    small = spark.range(10)
+    assert "RoundRobinPartitioning(8)" in plan_of(spread_small(small))
+    large = spark.range(10**12)
+    assert spread_small(large) is large
+
+
 def test_pair_text_keeps_500_characters(spark):
     df = spark.createDataFrame([("é" * 600, "x" * 499)], "e string, r string")
     pair = df.select(nli.pair_text(F.col("e"), F.col("r"))).first()[0]

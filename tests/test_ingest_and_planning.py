@@ -191,6 +191,26 @@ def test_attach_fail_and_coverage(spark, small_plan):
     assert {r.answered for r in none.collect()} == {0}
 
 
+def test_answers_equal_the_plan_joined_to_replies(spark):
+    samples = spark.createDataFrame(
+        [("d", "f", i, s, "p" + s) for i, s in enumerate("abc")],
+        "dataset string, file string, pos bigint, sample_id string, prompt string",
+    )
+    runs = spark.createDataFrame(
+        [("full", "d", ["m1", "m2"], False), ("smoke", "d", ["m1"], True)],
+        "run_id string, dataset string, models array<string>, smoke_test boolean",
+    )
+    replies = spark.createDataFrame(
+        [(r, s, m, r + s + m, 1.0, None, 2) for r in ("full", "smoke", "gone") for s in "abz" + "c" for m in ("m1", "m2", "m3")],
+        "run_id string, sample_id string, model_name string, response_text string, latency_ms double, "
+        "input_tokens int, output_tokens int",
+    )
+    for some in (runs, runs.drop("smoke_test")):
+        by_plan = planning.attach_responses(planning.eval_plan(samples, some), replies)
+        direct = planning.answers(samples, some, replies).select(by_plan.columns)
+        assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, by_plan.collect()))
+
+
 def test_batch_generate_keeps_failed_calls(spark, small_plan):
     def make():
         def ask(model, prompt, system):

@@ -23,14 +23,17 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
-def overwrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
+def overwrite_partitions(df: DataFrame, path: str, *columns: str, gather: bool = True) -> None:
     """Replace the partitions that ``df`` has rows for and leave the others alone.
 
-    Rows are gathered by partition, and a large partition is split over several files.
+    With ``gather``, rows are brought together by partition and a large partition is split
+    over several tasks by the adaptive plan. Without it every task writes what it has,
+    which suits micro-batches: they are small, and their plans may not be adaptive.
     """
+    if gather:
+        df = df.hint("rebalance", *columns)
     (
-        df.hint("rebalance", *columns)
-        .write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*columns)
         .parquet(path)

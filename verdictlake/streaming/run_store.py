@@ -54,9 +54,8 @@ def stream_run_store(
     )
 
     def merge(batch: DataFrame, number: int) -> None:
-        overwrite_partitions(
-            batch.withColumn("batch", F.lit(number).cast("bigint")), log, "run_id", "batch"
-        )
+        numbered = batch.withColumn("batch", F.lit(number).cast("bigint"))
+        overwrite_partitions(numbered, log, "run_id", "batch", gather=False)
         touched = batch.select("run_id").distinct()
         kept = _of_runs(spark.read.schema(logged).parquet(log), touched)
         overwrite_partitions(metrics_timeseries(latest_answers(kept), runs), points, "run_id")

@@ -36,7 +36,7 @@ def stream_run_status(
     )
 
     def write(changed: DataFrame, batch: int) -> None:
-        overwrite_partitions(changed.withColumn("batch", F.lit(batch)), log, "batch")
+        overwrite_partitions(changed.withColumn("batch", F.lit(batch)), log, "batch", gather=False)
 
     return (
         run_status(events)

@@ -119,7 +119,7 @@ def test_means_do_not_depend_on_partitioning(results, runs):
     assert once == again
 
 
-def test_points_read_each_measure_in_one_shuffle(results, runs, plan_of):
+def test_points_plan_has_no_product(results, runs, plan_of):
     points = metrics.metrics_timeseries(results, runs)
     points.collect()
     plan = plan_of(points)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm import tokens
+from verdictlake.llm import mixing, shared, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,6 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_warc_bundles")
+def _(spark, sf_dir):
+    facts = warc.archived(spark, table(spark, sf_dir, "pages"), shared.new_path(spark, "archives"))
+    return facts.select(
+        F.col("record_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+@query("op2_source_mix")
+def _(spark, sf_dir):
+    served = mixing.scheduled(table(spark, sf_dir, "documents"))
+    in_service_order = served.orderBy(F.col("passes")[0]["finish"], "doc_id")
+    return in_service_order.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op8_token_counts")
 def _(spark, sf_dir):
     import public_tokenizers

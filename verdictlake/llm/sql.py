@@ -1,3 +1,52 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op1_warc_bundles"] = """
+WITH facts AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), largest AS (
+  SELECT digest, max(page_id) AS top FROM facts WHERE n >= 1000 GROUP BY digest
+)
+SELECT page_id, n AS payload_bytes, f.digest AS payload_digest,
+       CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to
+FROM facts f LEFT JOIN largest l ON f.digest = l.digest AND n >= 1000
+"""
+
+ORACLES["op2_source_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS source_key,
+         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS place,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents
+), sources AS (
+  SELECT source_key, sum(size)::BIGINT AS source_size,
+         [3, 1, 2][((row_number() OVER (ORDER BY source_key) - 1) % 3 + 1)::INT]::BIGINT AS weight
+  FROM sized GROUP BY source_key
+), queue AS (
+  SELECT *, row_number() OVER limits AS place,
+         sum(source_size) OVER () * 150
+           - coalesce(sum(source_size * 200) OVER (limits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pot,
+         sum(weight) OVER ()
+           - coalesce(sum(weight) OVER (limits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS parts
+  FROM sources WINDOW limits AS (ORDER BY source_size / weight, source_key)
+), opened AS (
+  SELECT place AS first_open, pot AS first_pot, parts AS first_parts FROM queue
+  WHERE pot * weight <= source_size * 200 * parts ORDER BY place LIMIT 1
+), targets AS (
+  SELECT source_key, source_size,
+         CASE WHEN place >= first_open
+              THEN least((first_pot * weight)::DOUBLE / (first_parts * 100)::DOUBLE, (source_size * 2)::DOUBLE)
+              ELSE (source_size * 2)::DOUBLE END AS target
+  FROM queue LEFT JOIN opened ON true
+), timed AS (
+  SELECT s.*, t.source_size, t.target,
+         sum(size) OVER (PARTITION BY s.source_key ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS begun
+  FROM sized s JOIN targets t ON s.source_key = t.source_key
+)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, floor(target)::BIGINT - begun))
+        + greatest(0, least(size, floor(target)::BIGINT - begun - source_size)))::BIGINT AS taken
+FROM timed
+"""

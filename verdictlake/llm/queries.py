@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm import mixing, shared, tokens, warc
+from verdictlake.llm import mixing, shared, simhash, substrings, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -43,6 +43,17 @@ def _(spark, sf_dir):
     return in_service_order.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op5_repeated_passages")
+def _(spark, sf_dir):
+    return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op7_simhash_groups")
+def _(spark, sf_dir):
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 @query("op8_token_counts")
 def _(spark, sf_dir):
     import public_tokenizers

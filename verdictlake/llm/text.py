@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words are runs of bytes other than space and the controls \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -44,7 +45,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of some texts. ``first[d]:first[d + 1]`` are those of text d; byte positions are in ``data``."""
+    """Words of some texts, in order. ``first[d]:first[d + 1]`` are those of text d.
+
+    ``data`` has the bytes of all words with one space between two; word w is
+    ``data[start[w]:end[w]]``, so words a to b - 1 joined by spaces are ``data[start[a]:end[b - 1]]``.
+    """
 
     data: np.ndarray
     start: np.ndarray
@@ -59,7 +64,7 @@ class Words:
 
 def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text each; a longer text is alone."""
-    length = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+    length = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     total, begin = 0, 0
     for row, n in enumerate(length.tolist()):
         if row > begin and total + n > limit:
@@ -70,59 +75,45 @@ def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         yield begin, len(length)
 
 
-def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts in a row, and where each begins. Null is empty."""
-    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, dtype=np.int64, count=len(column) + 1, offset=8 * column.offset)
-    if data is None or at[-1] == at[0]:
-        return np.zeros(0, np.uint8), np.zeros(len(at), np.int64)
-    return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
-
-
-def words(column: pa.Array, lower: bool) -> Words:
-    """All words with a 64-bit hash of their bytes; the hash depends on the word only.
-
-    Bytes are hashed with running sums of powers, block by block; a word longer than a block
-    is hashed by itself, with the same result.
-    """
-    data, at = raw(column)
-    if lower:
-        data = LOWER[data]
-    n = len(data)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return Words(data, none, none, none.astype(np.uint64), np.zeros(len(at), np.int64))
+def words(column: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
+    """All words of the texts with a 64-bit hash that depends on the word's bytes only. Null is empty."""
+    texts = [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    at = np.zeros(len(texts) + 1, dtype=np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=at[1:])
     black = ~SPACE[data]
-    edge = np.zeros(n + 1, dtype=bool)
-    edge[at] = True
-    before = np.empty(n, dtype=bool)
-    before[0] = False
+    before = np.empty_like(black)
+    before[:1] = False
     before[1:] = black[:-1]
-    start = np.flatnonzero(black & (~before | edge[:-1]))
-    after = np.empty(n, dtype=bool)
-    after[-1] = False
-    after[:-1] = black[1:]
-    end = np.flatnonzero(black & (~after | edge[1:])) + 1
+    first = np.searchsorted(np.flatnonzero(black & ~before), at)
+    if lower:
+        data = LOWER[data]
+    # The first white byte behind each word stays, as its one space.
+    data = np.where(black, data, np.uint8(32))[black | before]
+    end = np.flatnonzero(data == 32)
+    start = np.empty_like(end)
+    start[:1] = 0
+    start[1:] = end[:-1] + 1
+    return Words(data, start, end, _hashes(data, start, end) if hashed else end[:0].astype(np.uint64), first)
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of bytes times powers, taken as differences of running sums, block by block."""
     value = np.empty(len(start), dtype=np.uint64)
     done = 0
     while done < len(start):
-        base = start[done]
+        base = int(start[done])
         upto = max(int(np.searchsorted(end, base + BLOCK, side="right")), done + 1)
         stop = int(end[upto - 1])
-        if stop - base > BLOCK:
-            powers, inverse = _powers(_BASE, stop - base + 1), None
-        else:
-            powers, inverse = _POWER, _INVERSE
+        powers = _POWER if stop - base <= BLOCK else _powers(_BASE, stop - base + 1)
         sums = np.zeros(stop - base + 1, dtype=np.uint64)
         np.cumsum((data[base:stop].astype(np.uint64) + np.uint64(1)) * powers[: stop - base], out=sums[1:])
         s, e = start[done:upto] - base, end[done:upto] - base
         value[done:upto] = sums[e] - sums[s]
-        if inverse is not None:
-            value[done:upto] *= inverse[s]
+        if stop - base <= BLOCK:
+            value[done:upto] *= _INVERSE[s]
         done = upto
-    value = mix(value + (end - start).astype(np.uint64))
-    return Words(data, start, end, value, np.searchsorted(start, at))
+    return mix(value + (end - start).astype(np.uint64))
 
 
 def runs(value: np.ndarray, width: int) -> np.ndarray:

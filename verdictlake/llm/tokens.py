@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +155,7 @@ def count_tokens(
             for a, b in slices(batch.column(1), 1 << 20):
                 part = batch.slice(a, b - a)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                size = pa.compute.fill_null(pa.compute.binary_length(part.column(1)), 0)
+                size = pc.fill_null(pc.binary_length(part.column(1)), 0)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), size.cast(pa.int64()), pa.array(numbers(texts), pa.int64())],
                     names=[id, "n_bytes", "n_tokens"],

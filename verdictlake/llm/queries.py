@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm import mixing, shared, simhash, substrings, tokens, warc
+from verdictlake.llm import decontaminate, mixing, shared, simhash, substrings, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -60,3 +60,8 @@ def _(spark, sf_dir):
 
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query("op10_benchmark_overlaps")
+def _(spark, sf_dir):
+    return decontaminate.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

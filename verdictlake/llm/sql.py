@@ -71,3 +71,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM split LEFT JOIN kept USING (doc_id)
 """
+
+_MASKS = ((0, 1, 3, 6, 7, 10, 12), (0, 2, 4, 5, 8, 11, 12), (0, 1, 4, 7, 8, 10, 12))
+_SEEDS = " UNION ALL ".join(
+    f"SELECT id, i, w[i:i + 12] AS words, {number} AS mask, concat_ws(' ', {', '.join(f'w[i + {p}]' for p in places)}) AS seed FROM {{table}}"
+    for number, places in enumerate(_MASKS)
+)
+
+#: Items of fewer than 13 words do not occur in the test tables and are left out here.
+ORACLES["op10_benchmark_overlaps"] = r"""
+WITH doc_words AS (
+  SELECT doc_id AS id, coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), []) AS w FROM documents
+), item_words AS (
+  SELECT item_id AS id, coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), []) AS w FROM benchmark
+), doc_at AS (SELECT id, w, unnest(range(1, len(w) - 11)) AS i FROM doc_words WHERE len(w) >= 13),
+item_at AS (SELECT id, w, unnest(range(1, len(w) - 11)) AS i FROM item_words WHERE len(w) >= 13),
+doc_seeds AS (""" + _SEEDS.format(table="doc_at") + r"""),
+item_seeds AS (SELECT mask, seed, words, min(id) AS item FROM (""" + _SEEDS.format(table="item_at") + r""") GROUP BY ALL),
+hits AS (
+  SELECT DISTINCT d.id, d.i, item FROM doc_seeds d JOIN item_seeds b ON d.mask = b.mask AND d.seed = b.seed
+  WHERE list_sum(list_transform(range(1, 14), lambda k: (d.words[k] = b.words[k])::INT)) >= 11
+), covered AS (
+  SELECT id, count(DISTINCT p) AS words_hit FROM (SELECT id, unnest(range(i, i + 13)) AS p FROM hits) GROUP BY id
+), items AS (SELECT id, count(DISTINCT item) AS n_items FROM hits GROUP BY id)
+SELECT doc_id, words_hit IS NOT NULL AS contaminated, coalesce(words_hit, 0)::BIGINT AS words_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items
+FROM documents d LEFT JOIN covered c ON d.doc_id = c.id LEFT JOIN items i ON d.doc_id = i.id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm import decontaminate, mixing, shared, simhash, substrings, tokens, warc
+from verdictlake.llm import decontaminate, mixing, quality, shared, simhash, substrings, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -43,6 +43,12 @@ def _(spark, sf_dir):
     return in_service_order.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_quality_resampling")
+def _(spark, sf_dir):
+    drawn = quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return drawn.select(F.col("doc").alias("doc_id"), "n_grams", "weight", "score", "kept")
+
+
 @query("op5_repeated_passages")
 def _(spark, sf_dir):
     return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm import decontaminate, mixing, quality, shared, simhash, substrings, tokens, warc
+from verdictlake.llm import decontaminate, editprint, mixing, quality, shared, simhash, substrings, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -54,6 +54,11 @@ def _(spark, sf_dir):
     return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query("op6_edit_fingerprints")
+def _(spark, sf_dir):
+    return editprint.edit_fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op7_simhash_groups")
 def _(spark, sf_dir):
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm import decontaminate, editprint, mixing, quality, shared, simhash, substrings, tokens, warc
+from verdictlake.llm import decontaminate, editprint, mixing, quality, shared, simhash, substrings, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -73,6 +73,13 @@ def _(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query("op9_toxicity")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_exact", "n_misspelled")
+
+
 @query("op10_benchmark_overlaps")
 def _(spark, sf_dir):
     return decontaminate.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm import decontaminate, editprint, mixing, quality, shared, simhash, substrings, tokens, toxicity, warc
+from verdictlake.llm import decontaminate, editprint, lm, mixing, quality, shared, simhash, substrings, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -43,6 +43,11 @@ def _(spark, sf_dir):
     return in_service_order.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_lm_scores")
+def _(spark, sf_dir):
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 @query("op4_quality_resampling")
 def _(spark, sf_dir):
     drawn = quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

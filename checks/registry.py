@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import builtins
+import tempfile
 import types
 from collections.abc import Callable
 
@@ -22,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def query(name: str):
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: flat(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: flat(fn(ready(spark), sf_dir))
         return fn
 
     return register
@@ -33,6 +34,18 @@ def _by_value(fn):
     return types.FunctionType(fn.__code__, {"__builtins__": builtins, "__name__": "__main__"}, fn.__name__)
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """A local session without a shared folder gets one; on a cluster it must be set."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="verdictlake-"))
+    return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The test tables are single row groups, read by one task; per-row work is dealt over all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Lists as text and times without a zone, which compare the same way everywhere."""
     columns = []
@@ -341,6 +354,16 @@ def _(spark, sf):
     )
 
 
+@query("b3_failure_reasons")
+def _(spark, sf):
+    """Raw replies, some without content, and class scores that lack every 29th call."""
+    raw = d.responses(spark, sf)
+    parsed = planning.parse_replies(raw.drop("response_text", "input_tokens", "output_tokens"))
+    number = F.regexp_extract("sample_id", r"cv_(\d+)_", 1).cast("long")
+    scores = d.logits(spark, sf).filter(number % 29 != 0)
+    return scoring.failures(_plan(spark, sf), parsed, scores)
+
+
 @query("b3_call_coverage")
 def _(spark, sf):
     return planning.call_coverage(_plan(spark, sf), d.responses(spark, sf))
@@ -365,7 +388,7 @@ def _echo_client():
 @query("b4_batch_generate")
 def _(spark, sf):
     make_client = _by_value(_echo_client)
-    return planning.batch_generate(_plan(spark, sf), make_client).select(
+    return planning.batch_generate(spread(_plan(spark, sf)), make_client).select(
         "run_id", "sample_id", "model_name", "response_text", "latency_ms", "input_tokens", "output_tokens", "error"
     )
 
@@ -408,21 +431,21 @@ def _(spark, sf):
 
 @query("c2_rouge1")
 def _(spark, sf):
-    return rouge.with_rouge(d.responses(spark, sf), scores=["rouge1"]).select(
+    return rouge.with_rouge(spread(d.responses(spark, sf)), scores=["rouge1"]).select(
         "run_id", "sample_id", "model_name", "rouge1"
     )
 
 
 @query("c3_rouge2")
 def _(spark, sf):
-    return rouge.with_rouge(d.responses(spark, sf), scores=["rouge2"]).select(
+    return rouge.with_rouge(spread(d.responses(spark, sf)), scores=["rouge2"]).select(
         "run_id", "sample_id", "model_name", "rouge2"
     )
 
 
 @query("c2_c3_rouge_documents")
 def _(spark, sf):
-    return rouge.with_rouge(d.document_pairs(spark, sf), scores=["rouge1", "rouge2"]).select(
+    return rouge.with_rouge(spread(d.document_pairs(spark, sf)), scores=["rouge1", "rouge2"]).select(
         "doc_id", "rouge1", "rouge2"
     )
 
@@ -434,7 +457,7 @@ def _(spark, sf):
 
 @query("c4_rougel_documents")
 def _(spark, sf):
-    return rouge.with_rouge(d.document_pairs(spark, sf), scores=["rougeL"]).select("doc_id", "rougeL")
+    return rouge.with_rouge(spread(d.document_pairs(spark, sf)), scores=["rougeL"]).select("doc_id", "rougeL")
 
 
 @query("c5_nli_pairs")
@@ -478,8 +501,8 @@ def _length_classifier():
 def _(spark, sf):
     pairs = d.responses(spark, sf).select("run_id", "sample_id", "model_name", "expected", "response_text")
     pair = nli.pair_text(F.col("expected"), F.col("response_text"))
-    scored = nli.with_class_scores(pairs, _by_value(_length_classifier), pair)
-    return scored.drop("expected", "response_text")
+    scored = nli.with_class_scores(spread(pairs), _by_value(_length_classifier), pair)
+    return scored.drop("expected", "response_text", "score_error")
 
 
 @query("c9_score_results")
@@ -520,7 +543,7 @@ def _(spark, sf):
 
 @query("c9_score_responses")
 def _(spark, sf):
-    answers = planning.attach_responses(_plan(spark, sf), d.responses(spark, sf))
+    answers = spread(planning.attach_responses(_plan(spark, sf), d.responses(spark, sf)))
     return scoring.score_with_logits(answers, d.logits(spark, sf))
 
 
@@ -678,10 +701,10 @@ def _(spark, sf):
     both.repartition(4, "sample_id").write.parquet(landing)
     runs = d.event_runs(spark, sf)
     stream = run_store.stream_run_store(
-        spark, landing, both.schema, runs, log, points, checkpoint, files_per_batch=2
+        spark, landing, both.schema, log, points, checkpoint, files_per_batch=2
     )
     stream.awaitTermination()
-    return run_store.read_points(spark, points)
+    return run_store.read_points(spark, points, runs)
 
 
 @query("g2_stream_window_metrics")

@@ -268,6 +268,12 @@ SELECT run_id, sample_id, prompt, expected, domain, model_name, response_text, l
 ORACLES["b2_answers"] = ORACLES["b2_response_attach"]
 ORACLES["b3_failed_calls"] = f"""WITH {PLANNED}
 SELECT run_id, sample_id, model_name FROM planned WHERE (c * 7 + t * 3 + m * 5) % 23 = 0"""
+ORACLES["b3_failure_reasons"] = f"""WITH {PLANNED},
+reasons AS (
+  SELECT run_id, sample_id, model_name, CASE WHEN (c * 7 + t * 3 + m * 5) % 23 = 0 THEN 'no reply'
+    WHEN (c + m) % 19 = 0 THEN 'reply has no message content' WHEN c % 29 = 0 THEN 'no class scores' END AS reason
+  FROM planned)
+SELECT * FROM reasons WHERE reason IS NOT NULL"""
 ORACLES["b3_call_coverage"] = f"""WITH {PLANNED}
 SELECT run_id, model_name, count(*) AS planned, count(*) FILTER ((c * 7 + t * 3 + m * 5) % 23 <> 0) AS answered
 FROM planned GROUP BY run_id, model_name"""
@@ -360,6 +366,13 @@ ORACLES["c3_rouge2"] = f"WITH {RESPONSES},{_rouge_n('responses', _KEYS, 2)} SELE
 ORACLES["c2_c3_rouge_documents"] = f"""WITH {DOCUMENT_PAIRS},{_rouge_n('pairs', 'doc_id', 1)},
 {_rouge_n('pairs', 'doc_id', 2)} SELECT * FROM rouge1 JOIN rouge2 USING (doc_id)"""
 ORACLES["c4_rougel"] = f"WITH RECURSIVE {BENCHMARK_PAIRS},{_rouge_l('pairs', 'i, m')} SELECT * FROM rougel"
+# The answers leave words out, so they are subsequences and the overlap is their token count.
+ORACLES["c4_rougel_documents"] = f"""WITH {DOCUMENT_PAIRS},
+counted AS (
+  SELECT doc_id, len(list_filter(regexp_split_to_array(lower(expected), '[^a-z0-9]+'), lambda w: w <> '')) AS n_ref,
+    len(list_filter(regexp_split_to_array(lower(response_text), '[^a-z0-9]+'), lambda w: w <> '')) AS n_ans FROM pairs)
+SELECT doc_id, CASE WHEN n_ans = 0 THEN 0.0::DOUBLE
+  ELSE ((40000 * n_ans + n_ref + n_ans) // (2 * (n_ref + n_ans)))::DOUBLE / 10000.0::DOUBLE END AS rougeL FROM counted"""
 ORACLES["c5_nli_pairs"] = f"""WITH {RESPONSES}
 SELECT {_KEYS}, left(expected, 500) || ' [SEP] ' || left(response_text, 500) AS pair FROM responses"""
 

@@ -6,7 +6,12 @@ import __spark_entry__ as contract
 from checks.compare import duck, duck_rows, spark_rows
 
 SF_DIR = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"d4_latency_percentile_approx", "c4_rougel_documents", "c9_score_responses"}
+WITHOUT_SQL = {"d4_latency_percentile_approx", "c9_score_responses"}
+
+
+def own(names):
+    """Without the corpus operators, which have tests of their own and may be absent."""
+    return {n for n in names if not (n[:2] == "op" and n[2].isdigit()) and n != "pipeline"}
 
 
 @pytest.fixture(scope="module")
@@ -15,11 +20,11 @@ def con():
 
 
 def test_all_queries_have_sql_but_the_known_ones():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == WITHOUT_SQL
+    assert own(contract.queries()) - own(contract.oracle_sql()) == WITHOUT_SQL
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(own(contract.oracle_sql())))
 def test_query_equals_sql(spark, con, name):
     df = contract.queries()[name](spark, SF_DIR)
     columns, want = duck_rows(con, contract.oracle_sql()[name])

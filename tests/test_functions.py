@@ -216,22 +216,16 @@ def test_rouge_scores_can_be_asked_for_singly(spark):
     assert with_rouge(df, scores=["rougeL"]).columns == ["expected", "response_text", "rougeL"]
 
 
-def test_rouge_does_not_shuffle_a_large_table(spark, plan_of, monkeypatch):
-    from verdictlake.functions import rouge
-
-    monkeypatch.setattr(rouge, "spread_small", lambda df: df)
+def test_rouge_does_not_shuffle(spark, plan_of):
     df = spark.range(5).select(F.lit("a b").alias("expected"), F.lit("a c").alias("response_text"))
     plan = plan_of(with_rouge(df))
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
 
 
-def test_only_small_tables_are_spread(spark, plan_of):
-    from verdictlake.session import spread_small
-
-    small = spark.range(10)
-    assert "RoundRobinPartitioning(8)" in plan_of(spread_small(small))
-    large = spark.range(10**12)
-    assert spread_small(large) is large
+def test_pair_text_of_whole_texts(spark):
+    df = spark.createDataFrame([("é" * 600, "x" * 700)], "e string, r string")
+    pair = df.select(nli.pair_text(F.col("e"), F.col("r"), kept=None)).first()[0]
+    assert pair == "é" * 600 + " [SEP] " + "x" * 700
 
 
 def test_pair_text_keeps_500_characters(spark):
@@ -260,7 +254,7 @@ def test_classifier_is_loaded_per_task(spark):
 
     df = spark.createDataFrame([("abc",), ("",)], "t string")
     got = [tuple(r) for r in nli.with_class_scores(df, load, F.col("t")).orderBy("t").collect()]
-    assert got == [("", 0.0, 0.0, 0.0), ("abc", 3.0, -3.0, 0.0)]
+    assert got == [("", 0.0, 0.0, 0.0, None), ("abc", 3.0, -3.0, 0.0, None)]
 
 
 def test_timestamps_are_utc(spark):
@@ -268,3 +262,29 @@ def test_timestamps_are_utc(spark):
     df = spark.createDataFrame([(start, start + timedelta(hours=1))], "a timestamp_ntz, b timestamp_ntz")
     row = df.select((F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp")))).first()
     assert row[0] == 3600 * 10**6
+
+
+def test_a_text_that_cannot_be_classified_fails_alone(spark):
+    import pandas as pd
+
+    def load():
+        def classify(texts):
+            if (texts == "bad").any():
+                raise ValueError("cannot read this")
+            return pd.DataFrame({"contradiction": [1.0] * len(texts), "entailment": 0.0, "neutral": 0.0})
+
+        return classify
+
+    df = spark.createDataFrame([("good",), ("bad",), ("fine",)], "t string").coalesce(1)
+    got = {r.t: (r.contradiction, r.score_error) for r in nli.with_class_scores(df, load, F.col("t")).collect()}
+    assert got == {"good": (1.0, None), "bad": (None, "cannot read this"), "fine": (1.0, None)}
+
+
+def test_numbers_with_null_keys_and_slices(spark):
+    from verdictlake.functions.ordinals import number_rows
+
+    rows = [("a", 1), ("a", None), (None, 1), (None, 2), ("a", 0)]
+    df = spark.createDataFrame(rows, "k string, p int")
+    taken = spark.createDataFrame([(None, 10)], "k string, taken int")
+    got = {(r.k, r.p): r.no for r in number_rows(df, ["k"], F.col("p"), ["p"], "no", already=taken).collect()}
+    assert got == {("a", 0): 1, ("a", 1): 2, ("a", None): 3, (None, 1): 11, (None, 2): 12}

@@ -267,3 +267,36 @@ def test_parse_replies(spark):
 def test_elapsed_ms_rounds_to_two_places(spark):
     df = spark.sql("SELECT timestamp_micros(0) AS a, timestamp_micros(m) AS b FROM VALUES (1234), (1235), (5) AS t(m)")
     assert [r[0] for r in df.select(planning.elapsed_ms(F.col("a"), F.col("b"))).collect()] == [1.23, 1.24, 0.01]
+
+
+def test_useless_replies_are_failures_with_a_reason(spark):
+    from verdictlake.operators import planning, scoring
+
+    keys = "run_id string, sample_id string, model_name string"
+    plan = spark.createDataFrame([("r", f"s{i}", "m", f"text {i}") for i in range(5)], keys + ", expected string")
+    replies = spark.createDataFrame(
+        [("r", "s0", "m", "ok", None), ("r", "s1", "m", None, "timeout"), ("r", "s2", "m", None, None), ("r", "s3", "m", "ok", None)],
+        keys + ", response_text string, error string",
+    ).selectExpr("*", "1.0D AS latency_ms", "1 AS input_tokens", "1 AS output_tokens")
+    scores = spark.createDataFrame([("r", "s0", "m", 1.0, 0.0, 0.0)], keys + ", contradiction double, entailment double, neutral double")
+    reasons = {r.sample_id: r.reason for r in scoring.failures(plan, replies, scores).collect()}
+    assert reasons == {"s1": "timeout", "s2": "reply without text", "s3": "no class scores", "s4": "no reply"}
+    answers = planning.attach_responses(plan.withColumn("domain", F.lit("d")).withColumn("prompt", F.lit("p")), replies)
+    assert {r.sample_id for r in scoring.score_with_logits(answers, scores).collect()} == {"s0"}
+    assert {r.sample_id for r in planning.failed_calls(plan, replies).collect()} == {"s1", "s2", "s4"}
+    covered = planning.call_coverage(plan, replies).first()
+    assert (covered.planned, covered.answered) == (5, 2)
+
+
+def test_only_the_question_goes_to_python(spark, plan_of):
+    from verdictlake.operators import planning
+
+    plan = spark.range(3).selectExpr("'r' run_id", "'s' sample_id", "'m' model_name", "'p' prompt", "concat('e', id) expected")
+    text = plan_of(planning.batch_generate(plan, lambda: lambda m, p, s: {"response_text": p}))
+    assert "ArrowEvalPython" in text and "MapInPandas" not in text
+
+
+def test_suites_fail_on_bad_items_unless_asked_otherwise(spark, suite_dir):
+    with pytest.raises(Exception, match="missing prompt|unreadable|not a list"):
+        suites.load_suite(spark, str(suite_dir)).collect()
+    assert suites.load_suite(spark, str(suite_dir), strict=False).count() > 0

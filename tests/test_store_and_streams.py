@@ -142,9 +142,9 @@ def test_run_store_stream_merges_runs_split_over_batches(spark, tmp_path):
     def arrive(rows):
         spark.createDataFrame(rows, ARRIVING).coalesce(1).write.mode("append").parquet(landing)
         run_store.stream_run_store(
-            spark, landing, spark.read.parquet(landing).schema, runs, log, points, checkpoint, files_per_batch=1
+            spark, landing, spark.read.parquet(landing).schema, log, points, checkpoint, files_per_batch=1
         ).awaitTermination()
-        return {p.run_id: p for p in run_store.read_points(spark, points).collect()}
+        return {p.run_id: p for p in run_store.read_points(spark, points, runs).collect()}
 
     got = arrive([arrival("r1", "a", 1, 1.0), arrival("r2", "a", 1, 9.0)])
     assert got["r1"].latency_p50 == 1.0
@@ -153,17 +153,41 @@ def test_run_store_stream_merges_runs_split_over_batches(spark, tmp_path):
     # sent again with another value; an older save that arrives late changes nothing
     got = arrive([arrival("r1", "a", 2, 5.0), arrival("r1", "b", 0, 99.0)])
     assert got["r1"].latency_p50 == 4.0
-    logged = spark.read.schema(ARRIVING + ", batch bigint").parquet(log)
+    logged = spark.read.schema(ARRIVING + ", bucket int, batch bigint").parquet(log)
     want = metrics.metrics_timeseries(run_store.latest_answers(logged), runs)
     assert {p.run_id: p.latency_p50 for p in want.collect()} == {r: p.latency_p50 for r, p in got.items()}
 
 
-def test_many_touched_runs_are_joined_instead_of_named(spark, monkeypatch):
-    log = spark.createDataFrame([(f"r{i}",) for i in range(6)], "run_id string")
-    touched = log.filter("run_id <> 'r0'")
-    named = sorted(r.run_id for r in run_store._of_runs(log, touched).collect())
-    monkeypatch.setattr(run_store, "NAMED_RUNS", 2)
-    assert sorted(r.run_id for r in run_store._of_runs(log, touched).collect()) == named == [f"r{i}" for i in range(1, 6)]
+def test_run_store_files_late_runs_and_compaction(spark, tmp_path):
+    landing, log, points, checkpoint, log2, points2 = (str(tmp_path / n) for n in ("landing", "log", "points", "c", "log2", "points2"))
+    rows = [arrival(f"r{i % 300}", f"s{i}", 1, float(i % 7)) for i in range(3000)]
+    spark.createDataFrame(rows, ARRIVING).repartition(3).write.parquet(landing)
+    schema = spark.read.parquet(landing).schema
+    run_store.stream_run_store(spark, landing, schema, log, points, checkpoint, files_per_batch=3).awaitTermination()
+    for place in (log, points):
+        # Bounded by the buckets, not by tasks times runs.
+        assert sum(1 for _ in (tmp_path / place).rglob("part-*.parquet")) <= store.RUN_BUCKETS
+    few = spark.createDataFrame([("r1", "d", T0)], "run_id string, dataset string, completed_at timestamp")
+    late = few.unionByName(spark.createDataFrame([("r2", "e", T0)], few.schema))
+    changed = spark.createDataFrame([("r1", "d", T0 + timedelta(days=1))], few.schema)
+    read = lambda runs, at=points: {(p.run_id, p.dataset, p.start_time) for p in run_store.read_points(spark, at, runs).collect()}
+    assert read(few) == {("r1", "d", T0)} and len(read(late)) == 2
+    assert read(changed) == {("r1", "d", T0 + timedelta(days=1))}
+    run_store.compact(spark, log, points, schema, log2, points2)
+    assert run_store.read_log(spark, log2, schema).count() == 3000
+    order = lambda at: sorted(run_store.read_points(spark, at, late).collect())
+    assert order(points2) == order(points)
+
+
+def test_status_log_is_compacted(spark, tmp_path):
+    landing, log, checkpoint, small = (str(tmp_path / n) for n in ("landing", "log", "checkpoint", "small"))
+    events = [("r1", s, T0 + timedelta(minutes=k)) for k, s in enumerate(("pending", "running", "completed"))]
+    for event in events:
+        spark.createDataFrame([event], schemas.RUN_EVENT).coalesce(1).write.mode("append").parquet(landing)
+    status.stream_run_status(spark, landing, log, checkpoint, files_per_batch=1).awaitTermination()
+    status.compact_run_status(spark, log, small)
+    assert spark.read.parquet(small).count() == 1
+    assert status.read_run_status(spark, small).collect() == status.read_run_status(spark, log).collect()
 
 
 def test_status_stream_equals_batch(spark, tmp_path):
@@ -244,7 +268,7 @@ def test_live_evaluation_end_to_end(spark, tmp_path, inputs):
     requests, catalog, samples = inputs
     done = evaluation.evaluate_live(requests, catalog, samples, by_value(make_client), by_value(load_classifier))
     assert [r.reject_reason for r in done.rejected.collect()] == ["dataset not found"]
-    assert done.failed.count() == 3 and {r.error for r in done.failed.collect()} == {"unreachable"}
+    assert done.failed.count() == 3 and {r.reason for r in done.failed.collect()} == {"unreachable"}
     rows = done.results.collect()
     assert sorted((r.run_id, r.sample_id) for r in rows) == [
         ("full", "s0"), ("full", "s1"), ("full", "s2"), ("smoke", "s0"), ("smoke", "s1")
@@ -263,6 +287,10 @@ def test_live_evaluation_end_to_end(spark, tmp_path, inputs):
     assert [(p.run_id, p.halluc_rate, p.latency_p95) for p in points.collect()] == [("full", 0.3333, 1.0), ("smoke", 0.5, 1.0)]
     summary = metrics.run_summary(store.read_runs(spark, runs_path), store.read_results(spark, results_path))
     assert {r.run_id: r.sample_count for r in summary.collect()} == {"full": 3, "smoke": 2}
+    runs = evaluation.finish_runs(done, requests.select("run_id", *[F.lit(T0).alias(c) for c in ("created_at", "started_at", "completed_at")]))
+    assert {r.run_id: (r.status, r.error) for r in runs.collect()} == {
+        "full": ("completed", None), "smoke": ("completed", None), "bad": ("failed", "dataset not found")
+    }
     views = history.health(points)
     assert views["latency"].count() == 4 and views["hallucination"].count() == 2
     assert [r.drift for r in views["latest_drift"].collect()] == [False]

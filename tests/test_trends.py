@@ -112,3 +112,19 @@ def test_chart_without_points_answers_nothing(spark):
     probes = spark.createDataFrame([("c", T0)], "chart string, at timestamp")
     series = spark.createDataFrame([], "chart string, series string, x timestamp, y double")
     assert trends.nearest_points(probes, series, ["chart"]).count() == 0
+
+
+def test_health_sees_drift_in_every_series(spark):
+    from datetime import datetime, timedelta
+
+    from verdictlake import schemas
+    from verdictlake.plans import history
+
+    start = datetime(2024, 1, 1)
+    rows = [
+        (f"r{s}_{k}", None, "d", f"m{s}", start + timedelta(days=k), 0.5, 0.5 if k < 9 else 0.2, 0.0, 1.0, 2.0)
+        for s in range(30)
+        for k in range(10)
+    ]
+    drift = history.health(spark.createDataFrame(rows, schemas.POINT))["latest_drift"]
+    assert drift.filter("drift").count() == 30

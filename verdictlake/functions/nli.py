@@ -8,9 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.session import spread_small
-
-# Characters kept of each side, the separator, the class order, and the
+# Characters kept of each side by default, the separator, the class order, and the
 # class that counts as a hallucination.
 KEPT_CHARS = 500
 PAIR_SEPARATOR = " [SEP] "
@@ -20,12 +18,10 @@ FLAGGED_CLASS = "contradiction"
 Classifier = Callable[[pd.Series], pd.DataFrame]
 
 
-def pair_text(expected: Column, response: Column) -> Column:
-    return F.concat(
-        F.substring(expected, 1, KEPT_CHARS),
-        F.lit(PAIR_SEPARATOR),
-        F.substring(response, 1, KEPT_CHARS),
-    )
+def pair_text(expected: Column, response: Column, kept: int | None = KEPT_CHARS) -> Column:
+    """Both texts, each cut to its first ``kept`` characters; None keeps whole texts."""
+    sides = [side if kept is None else F.substring(side, 1, kept) for side in (expected, response)]
+    return F.concat(sides[0], F.lit(PAIR_SEPARATOR), sides[1])
 
 
 def top_class(scores: dict[str, Column]) -> Column:
@@ -63,18 +59,37 @@ def with_verdict(df: DataFrame) -> DataFrame:
 def with_class_scores(
     df: DataFrame, load_classifier: Callable[[], Classifier], text: Column
 ) -> DataFrame:
-    """Run a classifier over the pair text and add one column per class score.
+    """Run a classifier over the pair text and add one column per class score, and ``score_error``.
 
     ``load_classifier`` is called once per task; what it returns maps a batch of texts to
-    a frame with one score column per class.
+    a frame with one score column per class. If a batch raises, its texts are tried one by
+    one, and only a text that raises alone has no scores but an error.
     """
-    fields = ", ".join(f"{name} double" for name in CLASSES)
+    fields = ", ".join([*(f"{name} double" for name in CLASSES), "score_error string"])
     names = list(CLASSES)
 
     @F.pandas_udf(fields)
     def infer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         classify = load_classifier()
+
+        def scores(texts):
+            found = classify(texts)[names].astype("float64").reset_index(drop=True)
+            return found.assign(score_error=pd.Series([None] * len(found), dtype=object))
+
+        def one(text):
+            try:
+                return scores(pd.Series([text]))
+            except Exception as problem:  # a text that cannot be scored must not end the task
+                reason = str(problem) or type(problem).__name__
+                return pd.DataFrame([[None] * len(names) + [reason]], columns=[*names, "score_error"])
+
         for texts in batches:
-            yield classify(texts)[names].astype("float64").reset_index(drop=True)
+            try:
+                yield scores(texts)
+            except Exception:
+                parts = pd.concat([one(text) for text in texts], ignore_index=True)
+                yield parts.astype({name: "float64" for name in names})
 
-    return spread_small(df).withColumn("_scores", infer(text)).select(*df.columns, "_scores.*")
+    return df.withColumn("_scores", infer(text)).select(*df.columns, "_scores.*")

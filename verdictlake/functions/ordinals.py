@@ -21,25 +21,35 @@ def number_rows(
     ``slice_by`` cuts a group into consecutive ranges of bounded size. Only the row count
     per slice is brought together per group; the rows are numbered inside their slice and
     shifted by the rows before it. ``already`` (keys + ``taken``) starts a group after the
-    numbers taken there. Key and slice values must not be null.
+    numbers taken there. Null keys form a group of their own and null slices come last.
     """
     keys = list(keys)
     sliced = df.withColumn("_slice", slice_by)
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
-    ahead = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice")
+    ahead = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("_slice").asc_nulls_last())
     offsets = sizes.withColumn("_offset", F.sum("_size").over(ahead) - F.col("_size")).drop("_size")
     if already is not None:
-        offsets = offsets.join(already.select(*keys, "taken"), keys, "left").withColumn(
+        offsets = _null_safe(offsets, already.select(*keys, "taken"), keys, "left").withColumn(
             "_offset", F.col("_offset") + F.coalesce("taken", F.lit(0))
         ).drop("taken")
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order_by)
     return (
-        sliced.join(offsets, [*keys, "_slice"])
+        _null_safe(sliced, offsets, [*keys, "_slice"], "inner")
         .withColumn(out, F.row_number().over(inside) + F.col("_offset"))
         .drop("_slice", "_offset")
     )
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on equal keys, null equal to null, keeping the keys once."""
+    renamed = right.withColumnsRenamed({k: f"_{k}_of_right" for k in keys})
+    same = None
+    for k in keys:
+        equal = F.col(k).eqNullSafe(F.col(f"_{k}_of_right"))
+        same = equal if same is None else same & equal
+    return left.join(renamed, same, how).drop(*[f"_{k}_of_right" for k in keys])
+
+
 def first_per_group(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
     """The first row of each group. Every task keeps only its own first row of a group
     before the shuffle, so a group of any size costs one row per task."""

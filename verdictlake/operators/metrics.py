@@ -73,9 +73,18 @@ def _profile(results: DataFrame, keys: Sequence[str], latency_places: int) -> Da
     )
 
 
+def run_model_points(results: DataFrame) -> DataFrame:
+    """Means, flag rate and latency percentiles per (run, model), without anything of the run."""
+    return _profile(results, RUN_MODEL, latency_places=2)
+
+
 def metrics_timeseries(results: DataFrame, runs: DataFrame) -> DataFrame:
     """One point per (run, model). The answers are aggregated before runs are joined."""
-    points = _profile(results, RUN_MODEL, latency_places=2)
+    return dated_points(run_model_points(results), runs)
+
+
+def dated_points(points: DataFrame, runs: DataFrame) -> DataFrame:
+    """Points of ``run_model_points`` with dataset and time of their runs."""
     about = runs.select("run_id", "dataset", F.col("completed_at").alias("start_time"))
     return points.join(about, "run_id").select(
         "run_id",

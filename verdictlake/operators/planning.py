@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from verdictlake import schemas
 from verdictlake.functions import exact
 from verdictlake.operators.ingest import smoke_limit
-from verdictlake.session import spread_small
 
 CALL_KEYS = ("run_id", "sample_id", "model_name")
 
@@ -40,17 +39,26 @@ def eval_plan(samples: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def usable(responses: DataFrame) -> Column:
+    """Whether a reply counts as an answer: it has a text and no error."""
+    good = F.col("response_text").isNotNull()
+    return good & F.col("error").isNull() if "error" in responses.columns else good
+
+
 def attach_responses(
     plan: DataFrame, responses: DataFrame, keys: Sequence[str] = CALL_KEYS
 ) -> DataFrame:
-    """Answered calls: sample fields with reply fields; missing token counts are 0, the cost is 0."""
-    replies = responses.select(*keys, "response_text", "latency_ms", "input_tokens", "output_tokens")
+    """Answered calls: sample fields with reply fields; missing token counts are 0, the cost is 0.
+
+    Replies with an error or without a text are no answers.
+    """
+    replies = responses.filter(usable(responses)).select(*keys, "response_text", "latency_ms", "input_tokens", "output_tokens")
     return _filled(plan.join(replies, list(keys)))
 
 
 def answered_calls(replies: DataFrame) -> DataFrame:
     """Replies of ``batch_generate`` that did not fail, as answers."""
-    return _filled(replies.filter(F.col("error").isNull()))
+    return _filled(replies.filter(usable(replies)))
 
 
 def answers(samples: DataFrame, runs: DataFrame, responses: DataFrame) -> DataFrame:
@@ -62,7 +70,7 @@ def answers(samples: DataFrame, runs: DataFrame, responses: DataFrame) -> DataFr
     smoke = F.coalesce("smoke_test", F.lit(False)) if "smoke_test" in runs.columns else F.lit(False)
     wanted = runs.select("run_id", "dataset", "models", smoke.alias("_smoke"))
     replies = (
-        responses.select(*CALL_KEYS, "response_text", "latency_ms", "input_tokens", "output_tokens")
+        responses.filter(usable(responses)).select(*CALL_KEYS, "response_text", "latency_ms", "input_tokens", "output_tokens")
         .join(wanted, "run_id")
         .filter(F.array_contains("models", F.col("model_name")))
         .drop("models")
@@ -88,13 +96,13 @@ def _filled(answered: DataFrame) -> DataFrame:
 
 
 def failed_calls(plan: DataFrame, responses: DataFrame, keys: Sequence[str] = CALL_KEYS) -> DataFrame:
-    """Planned calls without a reply."""
-    return plan.join(responses.select(*keys), list(keys), "left_anti")
+    """Planned calls without a usable reply; see ``scoring.failures`` for the reasons."""
+    return plan.join(responses.filter(usable(responses)).select(*keys), list(keys), "left_anti")
 
 
 def call_coverage(plan: DataFrame, responses: DataFrame, keys: Sequence[str] = CALL_KEYS) -> DataFrame:
     """Per (run, model): planned and answered calls. A run without any reply keeps its row."""
-    answered = responses.select(*keys).distinct().withColumn("_hit", F.lit(1))
+    answered = responses.filter(usable(responses)).select(*keys).distinct().withColumn("_hit", F.lit(1))
     return (
         plan.select(*keys)
         .join(answered, list(keys), "left")
@@ -149,13 +157,14 @@ def batch_generate(
     ``make_client`` runs once per task; the client it returns takes (model name, prompt,
     system prompt) and returns ``response_text`` and optionally the token counts and a
     ``latency_ms`` of its own. A call that raises keeps its row with ``error`` set. A lost
-    task asks again, so write the replies to a table before using them twice.
+    task asks again, so write the replies to a table before using them twice. Only what the
+    model is asked travels to the tasks' Python.
     """
-    columns = plan.columns
-    schema = T.StructType(plan.schema.fields + schemas.RESPONSE.fields)
+    schema = T.StructType(schemas.RESPONSE.fields)
     fields = schemas.RESPONSE.fieldNames()
 
-    def ask_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(schema)
+    def ask_all(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         import time
         from concurrent.futures import ThreadPoolExecutor
 
@@ -167,17 +176,17 @@ def batch_generate(
             try:
                 reply.update(client(*call))
                 if reply["latency_ms"] is None:
-                    reply["latency_ms"] = round((time.perf_counter() - begun) * 1000, 2)
+                    reply["latency_ms"] = (time.perf_counter() - begun) * 1000
+                reply["latency_ms"] = round(reply["latency_ms"], 2)
             except Exception as problem:  # a failed call must not end the task
                 reply["error"] = str(problem) or type(problem).__name__
             return reply
 
         with ThreadPoolExecutor(concurrency) as pool:
-            for batch in batches:
-                system = batch[system_prompt].fillna("") if system_prompt else [""] * len(batch)
-                calls = zip(batch["model_name"], batch["prompt"], system)
-                replies = pd.DataFrame(list(pool.map(ask, calls)), columns=fields, dtype=object)
-                replies.index = batch.index
-                yield pd.concat([batch[columns], replies], axis=1)
-
-    return spread_small(plan).mapInPandas(ask_all, schema)
+            for model, prompt, system in batches:
+                calls = zip(model, prompt, system)
+                yield pd.DataFrame(list(pool.map(ask, calls)), columns=fields, dtype=object)
+
+    system = F.coalesce(F.col(system_prompt), F.lit("")) if system_prompt else F.lit("")
+    asked = plan.withColumn("_reply", ask_all(F.col("model_name"), F.col("prompt"), system))
+    return asked.select(*plan.columns, "_reply.*")

@@ -8,21 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictlake.operators.ingest import accepted, rejected, validate_requests
-from verdictlake.operators.planning import (
-    answered_calls,
-    answers,
-    batch_generate,
-    eval_plan,
-    failed_calls,
-)
-from verdictlake.operators.scoring import score_with_classifier, score_with_logits
+from verdictlake.operators.planning import CALL_KEYS, answered_calls, answers, batch_generate, eval_plan
+from verdictlake.operators.scoring import failures, judge_with_classifier, score_with_logits, scored_answers
 from verdictlake.sources.scratch import saved
 from verdictlake.sources.store import replace_results, save_runs
 
 
 @dataclass
 class Evaluation:
-    """The tables one evaluation produces; all are lazy."""
+    """The tables one evaluation produces.
+
+    Every planned call is in ``results`` or, with its reason, in ``failed``.
+    """
 
     runs: DataFrame
     rejected: DataFrame
@@ -40,19 +37,33 @@ def evaluate_captured(
     # The plan is kept to its keys; texts join the replies directly.
     plan = eval_plan(samples.select("dataset", "file", "pos", "sample_id"), runs)
     results = score_with_logits(answers(samples, runs, responses), class_scores)
-    return Evaluation(runs, rejected(checked), plan, failed_calls(plan, responses), results)
+    return Evaluation(runs, rejected(checked), plan, failures(plan, responses, class_scores), results)
 
 
 def evaluate_live(
     requests: DataFrame, catalog: DataFrame, samples: DataFrame, make_client, load_classifier
 ) -> Evaluation:
-    """Ask the models, then score. The replies are written once and read from there."""
+    """Ask the models, then score. Both happen here: replies and scores are written once and read from there."""
     checked = validate_requests(requests, catalog)
     runs = _runs(checked)
     plan = eval_plan(samples, runs)
     replies = saved(batch_generate(plan, make_client), "replies")
-    failed = replies.filter(F.col("error").isNotNull()).select(*plan.columns, "error")
-    return Evaluation(runs, rejected(checked), plan, failed, score_with_classifier(answered_calls(replies), load_classifier))
+    judged = saved(judge_with_classifier(answered_calls(replies), load_classifier), "judged")
+    unscored = judged.filter(F.col("score_error").isNotNull()).select(*CALL_KEYS, F.col("score_error").alias("reason"))
+    failed = failures(plan, replies).unionByName(unscored)
+    return Evaluation(runs, rejected(checked), plan, failed, scored_answers(judged))
+
+
+def finish_runs(evaluation: Evaluation, created: DataFrame) -> DataFrame:
+    """Run rows of an evaluation: ``created`` (run_id, created_at, started_at, completed_at) with outcome.
+
+    A run that was evaluated is completed, also if all its calls failed; then it has no answers.
+    A request that was rejected is failed, and its error is the reason. ``seq`` orders the save.
+    """
+    done = evaluation.runs.select("run_id", "dataset", "models", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"))
+    refused = evaluation.rejected.select("run_id", "dataset", "models", F.lit("failed").alias("status"), F.col("reject_reason").alias("error"))
+    both = done.unionByName(refused).withColumn("seq", F.lit(0).cast("bigint"))
+    return both.join(created.select("run_id", "created_at", "started_at", "completed_at"), "run_id")
 
 
 def _runs(checked: DataFrame) -> DataFrame:

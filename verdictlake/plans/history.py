@@ -15,9 +15,12 @@ def stored_series(
     results_path: str,
     model: str | None = None,
     dataset: str | None = None,
-    last: int = metrics.DEFAULT_POINTS,
+    last: int = 0,
 ) -> DataFrame:
-    """The last points of the store, filtered by model and dataset."""
+    """The points of the store, filtered by model and dataset; ``last`` keeps the last ones only, 0 all.
+
+    Drift needs all points: a cut runs over all series together.
+    """
     points = metrics.filtered_timeseries(
         read_results(spark, results_path), read_runs(spark, runs_path), model, dataset
     )

@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path under ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session gets a temporary folder of its own; on a cluster
-    the executors could not see such a folder, so the setting is required there.
-    """
+    """A new path under ``spark.checkpoint.dir``, which must be set to a folder that executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        app = context.applicationId
-        if app not in _local_roots:
-            _local_roots[app] = tempfile.mkdtemp(prefix="verdictlake-")
-        root = _local_roots[app]
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

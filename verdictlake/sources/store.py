@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,19 +77,23 @@ def upsert_runs(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return merged.select("run_id", "_first.*", "_last.*").select(*existing.columns)
 
 
+def run_bucket() -> Column:
+    """The bucket of a run; the same for one run in every table."""
+    return F.pmod(F.xxhash64("run_id"), F.lit(RUN_BUCKETS)).cast("int")
+
+
 def save_runs(spark: SparkSession, incoming: DataFrame, path: str) -> None:
     """Upsert runs into the stored table, rewriting only the buckets that hold them."""
     statuses = list(schemas.RUN_STATUSES)
     status = F.when(F.col("status").isin(statuses), F.col("status")).otherwise(
         F.raise_error(F.concat(F.lit("unknown run status: "), F.coalesce("status", F.lit("none")))).cast("string")
     )
-    bucket = F.pmod(F.xxhash64("run_id"), F.lit(RUN_BUCKETS)).cast("int")
-    checked = incoming.withColumns({"status": status, "bucket": bucket})
+    checked = incoming.withColumns({"status": status, "bucket": run_bucket()})
     stored = read_or_empty(spark, path, _bucketed()).join(
         checked.select("bucket").distinct(), "bucket", "left_semi"
     )
     merged = upsert_runs(stored.select(*schemas.RUN.fieldNames()), checked)
-    overwrite_partitions(merged.withColumn("bucket", bucket), path, "bucket")
+    overwrite_partitions(merged.withColumn("bucket", run_bucket()), path, "bucket")
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

@@ -36,19 +36,10 @@ def parse_suites(files: DataFrame) -> DataFrame:
     names = schemas.SUITE_ITEM.fieldNames()
     domain, difficulty = DEFAULT_DOMAIN, DEFAULT_DIFFICULTY
 
-    def yaml_loader():
-        # Without the yaml package, the JSON subset of YAML is read.
-        try:
-            import yaml
-        except ImportError:
-            import json
-
-            return lambda content: json.loads(content) if content.strip() else None
-        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-        return lambda content: yaml.load(content, Loader=loader)
-
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        load = yaml_loader()
+        import yaml
+
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         empty = dict.fromkeys(names)
         required = {"id": "sample_id", "prompt": "prompt", "expected": "expected"}
 
@@ -57,7 +48,7 @@ def parse_suites(files: DataFrame) -> DataFrame:
 
         def rows(file, content):
             try:
-                items = load(content) or []
+                items = yaml.load(content, Loader=loader) or []
             except Exception as problem:
                 yield empty | {"file": file, "reject_reason": f"unreadable: {type(problem).__name__}"}
                 return
@@ -103,9 +94,17 @@ def strict_items(items: DataFrame) -> DataFrame:
     return items.withColumn("sample_id", checked).drop("reject_reason")
 
 
-def load_suite(spark: SparkSession, path: str) -> DataFrame:
-    """Good samples of one suite, with the file and place that give their order."""
-    items = good_items(parse_suites(read_suite_files(spark, path)))
+def _checked(items: DataFrame, strict: bool) -> DataFrame:
+    return strict_items(items) if strict else good_items(items)
+
+
+def load_suite(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Samples of one suite, with the file and place that give their order.
+
+    A bad item or file fails the job; with ``strict`` off it is left out, and ``bad_items`` of
+    ``parse_suites`` tells which and why.
+    """
+    items = _checked(parse_suites(read_suite_files(spark, path)), strict)
     return items.withColumn("dataset", posix_path(F.lit(path)))
 
 
@@ -129,8 +128,8 @@ def suite_catalog(spark: SparkSession, root: str) -> DataFrame:
     return _files_under(spark, root).select(names).distinct()
 
 
-def load_suites(spark: SparkSession, root: str) -> DataFrame:
-    """Good samples of all suites below ``root`` in one job.
+def load_suites(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
+    """Samples of all suites below ``root`` in one job; ``strict`` as in ``load_suite``.
 
     A sample is listed under its folder and under its file, the two datasets it is part of.
     """
@@ -138,7 +137,7 @@ def load_suites(spark: SparkSession, root: str) -> DataFrame:
         F.col("_file").alias("file"), F.decode("content", "UTF-8").alias("text")
     )
     folder = F.regexp_extract("file", "^(.*)/", 1)
-    return good_items(parse_suites(files)).withColumn("dataset", F.explode(F.array(folder, F.col("file"))))
+    return _checked(parse_suites(files), strict).withColumn("dataset", F.explode(F.array(folder, F.col("file"))))
 
 
 def load_table_suite(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:

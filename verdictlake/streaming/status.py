@@ -48,6 +48,17 @@ def stream_run_status(
     )
 
 
+def compact_run_status(spark: SparkSession, log: str, new_log: str) -> None:
+    """Write the log anew with the last change of each run, which keeps its batch number."""
+    last = (
+        spark.read.parquet(log)
+        .groupBy("run_id")
+        .agg(F.max_by(F.struct("status", "at", "batch"), "batch").alias("_last"))
+        .select("run_id", "_last.*")
+    )
+    overwrite_partitions(last, new_log, "batch")
+
+
 def read_run_status(spark: SparkSession, log: str) -> DataFrame:
     """The last logged status of each run."""
     return (

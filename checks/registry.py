@@ -15,6 +15,7 @@ from checks import derived as d
 from verdictlake import schemas
 from verdictlake.functions import nli, rouge, text
 from verdictlake.operators import ingest, metrics, planning, retrieval, scoring, trends
+from verdictlake.plans import evaluation, history
 from verdictlake.sources import export, scratch, store, suites
 from verdictlake.streaming import run_store, status, windows
 
@@ -684,6 +685,41 @@ def _(spark, sf):
     return trends.nearest_points(probes, series, ["model_name"])
 
 
+# ---------------------------------------------------------------- whole jobs
+
+
+@query("p1_run_outcomes")
+def _(spark, sf):
+    """Requests through plan, captured replies and scores to run rows, with the calls of each run.
+
+    One run got no reply at all and one request names no dataset.
+    """
+    chosen = d.runs(spark, sf).filter("status NOT IN ('failed', 'pending')")
+    asked = chosen.select("run_id", "dataset", "models", F.lit(False).alias("smoke_test"), F.lit(False).alias("use_mlflow"))
+    none = spark.createDataFrame([("run_none", "none", ["gamma"], False, False)], asked.schema)
+    requests = asked.unionByName(none)
+    samples = d.samples(spark, sf).select("dataset", "file", "pos", *SAMPLE_COLUMNS[:4])
+    catalog = samples.select(F.col("dataset").alias("path")).distinct()
+    replies = d.responses(spark, sf).filter("run_id <> 'run_0001'")
+    done = evaluation.evaluate_captured(requests, catalog, samples, replies, d.logits(spark, sf))
+    never = F.lit(None).cast("timestamp")
+    times = requests.select("run_id", *[never.alias(c) for c in ("created_at", "started_at", "completed_at")])
+    out = evaluation.finish_runs(done, times).select("run_id", "dataset", "status", "error")
+    for name, rows in (("planned", done.plan), ("results", done.results), ("failed", done.failed)):
+        out = out.join(rows.groupBy("run_id").agg(F.count(F.lit(1)).alias(name)), "run_id", "left")
+    return out.fillna(0, ["planned", "results", "failed"])
+
+
+@query("p2_stored_series")
+def _(spark, sf):
+    """Results and runs through the store to the series."""
+    runs_path, results_path = scratch.shared_dir(spark, "runs"), scratch.shared_dir(spark, "results")
+    runs = d.runs(spark, sf)
+    store.replace_results(runs.select("run_id"), scratch.saved(d.results(spark, sf), "scored"), results_path)
+    store.save_runs(spark, runs.withColumn("seq", F.lit(0).cast("bigint")), runs_path)
+    return history.stored_series(spark, runs_path, results_path)
+
+
 # ---------------------------------------------------------------- streams
 
 

@@ -503,6 +503,19 @@ QUALIFY row_number() OVER (PARTITION BY event_id, series ORDER BY abs(epoch_us(x
 
 # ---------------------------------------------------------------- streams
 
+ORACLES["p1_run_outcomes"] = f"""WITH {RESPONSES},
+asked AS (
+  SELECT DISTINCT conv_id // 12 AS r, 'run_' || lpad(CAST(conv_id // 12 AS VARCHAR), 4, '0') AS run_id,
+    'datasets/' || CASE (conv_id // 12) % 3 WHEN 0 THEN 'legal_qa' WHEN 1 THEN 'code_gen' ELSE 'summarization' END AS dataset
+  FROM conversations WHERE (conv_id // 12) % 6 <> 4 AND (conv_id // 12) % 12 <> 11),
+sizes AS (SELECT dataset, count(*) AS n FROM samples GROUP BY dataset),
+answered AS (SELECT run_id, count(*) AS n FROM responses WHERE run_id <> 'run_0001' GROUP BY run_id)
+SELECT run_id, dataset, 'completed' AS status,
+  NULL::VARCHAR AS error, s.n * CASE WHEN r % 5 = 0 THEN 1 ELSE 4 END AS planned, coalesce(a.n, 0) AS results,
+  planned - results AS failed
+FROM asked JOIN sizes s USING (dataset) LEFT JOIN answered a USING (run_id)
+UNION ALL SELECT 'run_none', 'none', 'failed', 'dataset not found', 0, 0, 0"""
+ORACLES["p2_stored_series"] = ORACLES["d1_metrics_timeseries_runs"]
 ORACLES["g1_stream_run_store"] = ORACLES["d1_metrics_timeseries"]
 ORACLES["g2_stream_window_metrics"] = f"""WITH {EVENT_RESULTS}
 SELECT date_trunc('day', ts) AS day, model_name, count(*) AS answers, {_mean('latency_u * 100')} AS latency_mean,

@@ -64,8 +64,9 @@ def test_repeated_passages_equal_brute_force(spark, table, prose):
         gone = {p for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)}
         kept = " ".join(x for p, x in enumerate(w) if p not in gone)
         want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    got = substrings.without_repeats(table(rows)).drop("kept").collect()
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    for hot_segments in (substrings.HOT_SEGMENTS, 10, 0):
+        got = substrings.without_repeats(table(rows), hot_segments=hot_segments).drop("kept").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert substrings.without_repeats(table(rows).limit(0)).count() == 0
 
 

@@ -10,7 +10,8 @@ In a shard the segments are one sequence of word numbers, indexed by its Burrows
 in a wavelet matrix of packed bits. All windows are searched backwards together, one word a step:
 the size of the suffix interval is the number of places where the part read so far occurs, and a
 window is dropped once that is one. What is left after a full window is repeated; the union of
-repeated windows are the intervals to remove.
+repeated windows are the intervals to remove. A key that alone would overfill a shard, as of a
+passage that very many documents share, has its windows dealt by their own names instead.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ SHARD_WORDS = 400_000
 FILTER_BITS = 1 << 27
 FILTER_SLICES = 64
 TEXT_SLICE = 1 << 21
+#: A key with more distinct segments than this does not fit one shard: its windows are dealt one by
+#: one. At most ``HOT_KEYS`` keys are treated so, which bounds the list of them that is broadcast.
+HOT_SEGMENTS = 8000
+HOT_KEYS = 1_000_000
 
 
 class Wavelet:
@@ -190,7 +195,12 @@ def repeated_key_filter(docs: DataFrame, window: int, anchor: int) -> np.ndarray
 
 
 def repeated_spans(
-    docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text", anchor: int = ANCHOR
+    docs: DataFrame,
+    window: int = WINDOW,
+    id: str = "doc_id",
+    text: str = "text",
+    anchor: int = ANCHOR,
+    hot_segments: int = HOT_SEGMENTS,
 ) -> DataFrame:
     """(doc, body, spans): word intervals [begin, end) covered by windows that occur elsewhere.
 
@@ -234,7 +244,13 @@ def repeated_spans(
     )
     total = found.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     shards = max(1, round(total / 6 / SHARD_WORDS))
-    distinct = found.groupBy("h1", "h2", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
+    per_key = saved(
+        found.select("key", "h1", "h2").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys"
+    )
+    most = max(hot_segments, (per_key.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = F.broadcast(per_key.filter(F.col("n") > most).select("key"))
+    cold = found.join(hot, "key", "left_anti")
+    distinct = cold.groupBy("h1", "h2", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
     placed = distinct.withColumn("shard", F.pmod("key", F.lit(shards))).repartition("shard").sortWithinPartitions("shard")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +273,48 @@ def repeated_spans(
     spans = placed.select("shard", "h1", "h2", "segment", "n").mapInArrow(
         search, "h1 bigint, h2 bigint, spans array<bigint>"
     )
+    spans = spans.unionByName(_spans_of_hot(found.join(hot, "key", "left_semi"), window))
     hits = found.select("doc", "body", "begin", "h1", "h2").join(spans, ["h1", "h2"])
     moved = F.transform("spans", lambda place: place + F.col("begin"))
     return hits.groupBy("doc", "body").agg(F.flatten(F.collect_list(moved)).alias("spans"))
 
 
+def _spans_of_hot(found: DataFrame, window: int) -> DataFrame:
+    """(h1, h2, spans) of segments whose key has too many for one shard.
+
+    Most of them hold a passage that very many documents share, each in a context of its own, so they
+    are all different. Each window gets a 128-bit name of its words; names are counted before and after
+    the shuffle, so neither the passage nor its contexts meet in one task.
+    """
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = words(batch.column(2))
+            first, second = runs(w.hash, window), runs(w.hash * np.uint64(0xA24BAED4963EE407), window)
+            count = np.maximum(np.diff(w.first) - window + 1, 0)
+            owner = np.repeat(np.arange(len(batch)), count)
+            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            at = w.first[owner] + offset
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(k).take(pa.array(owner)) for k in (0, 1, 3)),
+                    pa.array(offset),
+                    pa.array(first[at].view(np.int64)),
+                    pa.array(second[at].view(np.int64)),
+                ],
+                names=["h1", "h2", "n", "at", "w1", "w2"],
+            )
+
+    one = found.groupBy("h1", "h2", "segment").agg(F.count(F.lit(1)).alias("n"))
+    named = one.select("h1", "h2", "segment", "n").mapInArrow(
+        name, "h1 bigint, h2 bigint, n bigint, at bigint, w1 bigint, w2 bigint"
+    )
+    again = named.groupBy("w1", "w2").agg(F.sum("n").alias("places")).filter("places > 1").select("w1", "w2")
+    places = named.join(again, ["w1", "w2"]).groupBy("h1", "h2").agg(F.collect_list("at").alias("at"))
+    pairs = F.transform(F.array_sort("at"), lambda a: F.array(a, a + window))
+    return places.select("h1", "h2", F.flatten(pairs).alias("spans"))
+
+
 def _spans(held: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
     """Repeated intervals of each segment of a shard, as begin, end, begin, end, ..."""
     column = pa.concat_arrays([b.column(3) for b in held])
@@ -296,7 +349,12 @@ def _spans(held: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
 
 
 def without_repeats(
-    docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text", anchor: int = ANCHOR
+    docs: DataFrame,
+    window: int = WINDOW,
+    id: str = "doc_id",
+    text: str = "text",
+    anchor: int = ANCHOR,
+    hot_segments: int = HOT_SEGMENTS,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id``, n_words, n_removed, kept (words left, joined by spaces), kept_sha256.
 
@@ -305,7 +363,7 @@ def without_repeats(
     are taken whole; a null text has no words; rows repeated as they are repeat each other's text and
     lose every window. An empty table gives no rows.
     """
-    spans = repeated_spans(docs, window, id, text, anchor).hint("shuffle_hash")
+    spans = repeated_spans(docs, window, id, text, anchor, hot_segments).hint("shuffle_hash")
     narrow = _narrow(docs, id, text)
     same = narrow.doc.eqNullSafe(spans.doc) & (narrow.body == spans.body)
     joined = narrow.join(spans, same, "left").select(narrow.doc, narrow.text, spans.spans)

@@ -184,6 +184,23 @@ def test_lm_base_scores_are_exact_and_the_model_helps(spark, table, prose):
     assert lm.scores(table(rows).limit(0)).count() == 0
 
 
+def test_a_filter_above_the_bound_is_asked_in_parts_and_scores_the_same(spark, table, prose, monkeypatch):
+    rows = [(k, prose(80, k % 40) if k % 4 else prose(60, k)) for k in range(160)] + [(500 + k, t) for k, t in enumerate(ODD)] + [(None, "a b")]
+    want = lm.scores(table(rows)).collect()
+    monkeypatch.setattr(lm, "MOST_BITS", 1 << 13)
+    monkeypatch.setattr(lm, "SCORE_SLICE", 1 << 12)
+    got = lm.scores(table(rows)).collect()
+    near = [sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows_) for rows_ in (got, want)]
+    assert near[0] == near[1]
+    # Several parts and several slices of text, which have the same answers as the whole filter.
+    monkeypatch.setattr(lm, "SLICE_GRAMS", 50)
+    monkeypatch.setattr(lm, "MOST_BITS", 1 << 30)
+    whole = lm.scores(table(rows)).collect()
+    monkeypatch.setattr(lm, "MOST_BITS", 1 << 13)
+    dealt = lm.scores(table(rows)).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in dealt) == sorted((str(r.doc_id), round(r.score, 6)) for r in whole)
+
+
 def test_filter_levels_are_never_too_low(spark, prose):
     rng = np.random.default_rng(5)
     gram = np.unique(rng.integers(0, 1 << 62, 4000).astype(np.uint64))

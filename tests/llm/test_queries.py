@@ -56,6 +56,36 @@ def test_pipeline_stages(spark, tiny, tmp_path, prose):
     assert all(0 <= r.taken <= 2 * r.size for r in mix)
 
 
+def shingle_similarity(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_down_to_four_fifths_go(spark, prose):
+    base = [prose(300, 3000 + k) for k in range(24)]
+    rows = list(enumerate(base))
+    for k, text in enumerate(base):
+        w = text.split()
+        # One changed word takes five shingles; 1 to 6 of them leave similarities of 0.97 to 0.82, 9 leave less than 0.8.
+        for n in ([1 + k % 6] if k < 18 else [9]):
+            for j in range(n):
+                w[20 + 30 * j] = f"changed{k}x{j}"
+        rows.append((100 + k, " ".join(w)))
+    near = {i for i, t in rows[24:] if shingle_similarity(t, base[i - 100]) >= 0.8}
+    assert near == set(range(100, 118))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert left == {i for i, _ in rows} - near
+
+
+def test_near_dedup_with_repeated_and_null_ids(spark, prose):
+    one, other, third = prose(200, 1), prose(200, 2), prose(200, 3)
+    rows = [(1, one), (None, one + " tail"), (None, other), (5, third), (1, third + " tail"), (1, prose(90, 4)), (7, prose(90, 4))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert got == {(1, one), (None, other), (1, third + " tail"), (1, prose(90, 4))}
+
+
 def test_pipeline_takes_empty_tables(spark, tiny, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tiny}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")

@@ -86,6 +86,17 @@ def test_near_dedup_with_repeated_and_null_ids(spark, prose):
     assert got == {(1, one), (None, other), (1, third + " tail"), (1, prose(90, 4))}
 
 
+def test_cut_texts_stay_with_their_rows_under_repeated_and_null_ids(spark, prose):
+    passage, own = prose(45, 900), [prose(60, 60 + k) for k in range(7)]
+    with_it = [(i, f"{own[k]} {passage}") for k, i in enumerate((1, None, 1, None))]
+    rows = with_it + [(1, own[4]), (None, own[5]), (None, passage), (3, own[6]), (1, with_it[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.repeated_passages(spark, docs, "").collect())
+    # The row that occurs twice is wholly repeated, as is the passage alone; the others lose the passage only.
+    want = [(None, own[1]), (1, own[2]), (None, own[3]), (1, own[4]), (None, own[5]), (3, own[6])]
+    assert got == sorted((str(i), t) for i, t in want)
+
+
 def test_pipeline_takes_empty_tables(spark, tiny, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tiny}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")

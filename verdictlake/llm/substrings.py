@@ -355,9 +355,12 @@ def without_repeats(
     text: str = "text",
     anchor: int = ANCHOR,
     hot_segments: int = HOT_SEGMENTS,
+    keep_body: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id``, n_words, n_removed, kept (words left, joined by spaces), kept_sha256.
 
+    With ``keep_body`` a column body follows, the hash of the text that tells rows of one id apart.
+
     A word is removed if a window of ``window`` consecutive words of its document covers it whose words
     also start anywhere else, in the same document or another; windows are judged on the input. Texts
     are taken whole; a null text has no words; rows repeated as they are repeat each other's text and
@@ -366,7 +369,7 @@ def without_repeats(
     spans = repeated_spans(docs, window, id, text, anchor, hot_segments).hint("shuffle_hash")
     narrow = _narrow(docs, id, text)
     same = narrow.doc.eqNullSafe(spans.doc) & (narrow.body == spans.body)
-    joined = narrow.join(spans, same, "left").select(narrow.doc, narrow.text, spans.spans)
+    joined = narrow.join(spans, same, "left").select(narrow.doc, narrow.text, spans.spans, *[narrow.body] * keep_body)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,9 +401,11 @@ def without_repeats(
                         pa.array(sums[w.first[1:]] - sums[w.first[:-1]]),
                         pa.array(kept, pa.binary()).cast(pa.string()),
                         pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
+                        *[part.column(3)] * keep_body,
                     ],
-                    names=[id, "n_words", "n_removed", "kept", "kept_sha256"],
+                    names=[id, "n_words", "n_removed", "kept", "kept_sha256", *["body"] * keep_body],
                 )
 
     kind = narrow.schema["doc"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"`{id}` {kind}, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
+    columns = f"`{id}` {kind}, n_words bigint, n_removed bigint, kept string, kept_sha256 string"
+    return joined.mapInArrow(cut, columns + ", body bigint" * keep_body)

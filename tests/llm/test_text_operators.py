@@ -308,6 +308,22 @@ def test_benchmark_passages_are_found_with_substitutions(spark, table, prose):
     assert decontaminate.marked(docs.limit(0), benchmark).count() == 0
 
 
+def test_every_allowed_substitution_is_found(spark, table):
+    item, short, pad = [f"w{k}" for k in range(13)], [f"s{k}" for k in range(6)], [f"p{k}" for k in range(5)]
+    benchmark = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(short)), (2, " ".join(item))], "item_id bigint, text string")
+
+    def changed(words, places):
+        return " ".join(pad + ["other" if k in places else w for k, w in enumerate(words)] + pad)
+
+    two = [(a, b) for a in range(13) for b in range(a, 13)]
+    rows = [(k, changed(item, places)) for k, places in enumerate(two)]
+    rows += [(200 + k, changed(short, {k})) for k in range(6)]
+    clean = [(300, changed(item, {0, 5, 12})), (301, changed(short, {0, 5}))]
+    got = {r.doc_id: r for r in decontaminate.marked(table(rows + clean), benchmark).collect()}
+    assert {i for i, r in got.items() if r.contaminated} == {i for i, _ in rows}
+    assert all(got[k].n_items == 2 and got[k].words_hit == 13 for k in range(len(two)))
+
+
 def test_decontamination_runs_no_python(spark, tiny, plan_of):
     docs, benchmark = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "benchmark"))
     assert not re.search("Python|Pandas|Arrow", plan_of(decontaminate.marked(docs, benchmark)))

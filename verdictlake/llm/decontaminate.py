@@ -1,7 +1,8 @@
 """Benchmark passages in documents by spaced-seed hashing, with DataFrame functions only.
 
 A seed looks at fixed places of a window of words and ignores the others, so a window whose
-ignored words were changed has the same seed. Seeds of all windows of the documents are compared
+ignored words were changed has the same seed. The masks of a span are chosen so that whichever words
+a passing window may have changed, one mask ignores them all, so no such window is missed. Seeds of all windows of the documents are compared
 with those of the benchmark; around each hit, the whole window is compared word by word, and it
 counts if at least ``similarity`` of its words are equal in place.
 """
@@ -10,18 +11,15 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
 SPAN = 13
-#: Places of a window that each mask looks at.
-MASKS = (
-    (0, 1, 3, 6, 7, 10, 12),
-    (0, 2, 4, 5, 8, 11, 12),
-    (0, 1, 4, 7, 8, 10, 12),
-)
+#: Lines of the plane of seven points: any two points lie on one.
+LINES = ((0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5))
 SIMILARITY = 0.8
 #: Seeds of the benchmark that are broadcast at once, 8 bytes each; more go in further blocks.
 SEED_BLOCK = 1_000_000
@@ -33,6 +31,23 @@ def tokens(text: Column) -> Column:
     return F.transform(found, lambda word: F.xxhash64(word))
 
 
+def masks_of(span: int, similarity: float) -> list[tuple[int, ...]]:
+    """Places each mask looks at: any places that a passing window may have changed are ignored by one of them.
+
+    Places are dealt to groups and whole groups are ignored. For two changes seven groups and the lines
+    of a plane do, each mask looking at 7 or 8 of 13 words.
+    """
+    changed = span - math.ceil(span * similarity)
+    if changed <= 0:
+        return [tuple(range(span))]
+    if changed == 2 and span >= 7:
+        groups, ignored = 7, LINES
+    else:
+        groups = min(span, changed + 2)
+        ignored = list(combinations(range(groups), min(changed, groups - 1)))
+    return [tuple(p for p in range(span) if p % groups not in gone) for gone in ignored]
+
+
 def windows(df: DataFrame, masks: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
     """One row per position and mask of column ``words``: adds at, mask, seed. ``masks``: (span, places)."""
     last = F.size("words") - min(span for span, _ in masks)
@@ -62,9 +77,9 @@ def overlaps(
     """Documents with benchmark passages: doc, body, starts, words_hit, items.
 
     ``doc`` is the id and ``body`` a hash of the text (rows equal in both share one row); ``starts`` are
-    the first words of verified windows, ``words_hit`` how many words they cover, ``items`` the smallest
-    item of each. Items under ``SPAN`` words count where all their words follow each other; empty items
-    and null or empty texts never match. Equal windows of the benchmark are one.
+    the first words of verified windows, ``words_hit`` how many words they cover, ``items`` all items
+    that have one of them. Items under ``SPAN`` words count where ``similarity`` of their words follow in
+    place; empty items and null or empty texts never match. Equal windows of the benchmark are compared once.
 
     Documents are read once for each block of ``SEED_BLOCK`` benchmark seeds, which bounds what is
     broadcast; only windows whose seed is in a block are joined with the benchmark's words.
@@ -73,9 +88,10 @@ def overlaps(
     short = sorted(
         r.n for r in items.select(F.size("words").alias("n")).filter(f"n > 0 AND n < {SPAN}").distinct().collect()
     )
-    masks = [(SPAN, places) for places in MASKS] + [(n, tuple(range(n))) for n in short]
+    whole = masks_of(SPAN, similarity)
+    masks = [(n, places) for n in [SPAN, *short] for places in masks_of(n, similarity)]
     # A short mask is for items of exactly that length.
-    exact = F.when(F.col("mask") < len(MASKS), True).otherwise(
+    exact = F.when(F.col("mask") < len(whole), True).otherwise(
         F.size("words") == F.element_at(F.array(*[F.lit(span) for span, _ in masks]), F.col("mask") + 1)
     )
     known = (
@@ -83,7 +99,7 @@ def overlaps(
         .filter(exact)
         .select("mask", "seed", "item", window_words(masks).alias("item_words"))
         .groupBy("mask", "seed", "item_words")
-        .agg(F.min("item").alias("item"))
+        .agg(F.array_sort(F.collect_set("item")).alias("window_items"))
     )
     seeds = known.select("seed").distinct()
     block_count = max(1, math.ceil(seeds.count() / SEED_BLOCK))
@@ -103,11 +119,11 @@ def overlaps(
     equal = F.zip_with("doc_words", "item_words", lambda a, b: F.when(a == b, 1).otherwise(0))
     same = F.aggregate(equal, F.lit(0), lambda n, one: n + one)
     verified = found.join(known, ["mask", "seed"]).filter(same >= F.ceil(F.size("doc_words") * F.lit(similarity)))
-    placed = verified.select("doc", "body", "at", F.size("doc_words").alias("span"), "item").distinct()
+    placed = verified.select("doc", "body", "at", F.size("doc_words").alias("span"), "window_items").distinct()
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["span"] - 1))))
     return (
         placed.groupBy("doc", "body")
-        .agg(F.collect_set(F.struct("at", "span")).alias("spans"), F.collect_set("item").alias("items"))
+        .agg(F.collect_set(F.struct("at", "span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("window_items"))).alias("items"))
         .select(
             "doc",
             "body",

@@ -401,7 +401,7 @@ def without_repeats(
                         pa.array(sums[w.first[1:]] - sums[w.first[:-1]]),
                         pa.array(kept, pa.binary()).cast(pa.string()),
                         pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
-                        *[part.column(3)] * keep_body,
+                        *([part.column(3)] if keep_body else []),
                     ],
                     names=[id, "n_words", "n_removed", "kept", "kept_sha256", *["body"] * keep_body],
                 )

@@ -98,3 +98,48 @@ SELECT doc_id, words_hit IS NOT NULL AS contaminated, coalesce(words_hit, 0)::BI
        coalesce(n_items, 0)::BIGINT AS n_items
 FROM documents d LEFT JOIN covered c ON d.doc_id = c.id LEFT JOIN items i ON d.doc_id = i.id
 """
+
+_FAILS = {
+    "A": "len(words) < 200",
+    "B": "100 * len(list_distinct(words)) < 50 * len(words)",
+    "C": "100 * len(regexp_extract_all(body, '[A-Z]')) > 2 * len(body)",
+    "D": "regexp_matches(body, '[#$%&*|]')",
+    "E": "coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false)",
+}
+
+ORACLES["op13_filter_audit"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), failed AS (
+  SELECT doc_id, part, """ + ", ".join(f"({rule}) AS f{letter}" for letter, rule in _FAILS.items()) + r""" FROM texts
+), marked AS (
+  SELECT f.*, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad
+  FROM failed f LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM orders),
+lists AS (
+  SELECT part, good, bad, count(*) AS n,
+         concat(CASE WHEN fA THEN 'A' END, CASE WHEN fB THEN 'B' END, CASE WHEN fC THEN 'C' END,
+                CASE WHEN fD THEN 'D' END, CASE WHEN fE THEN 'E' END) AS fails
+  FROM marked GROUP BY ALL
+), told AS (
+  SELECT *, filter_order[step] AS letter, contains(fails, filter_order[step]) AS now,
+         len(translate(fails, filter_order[1:step - 1], '')) < len(fails) AS earlier FROM lists, steps
+), counted AS (
+  SELECT part, filter_order, step, letter,
+         sum(CASE WHEN NOT now AND NOT earlier THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN now AND NOT earlier THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN now AND earlier THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails = letter THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN now AND NOT earlier AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN now AND NOT earlier AND bad THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM told GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM counted
+"""

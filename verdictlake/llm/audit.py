@@ -44,6 +44,13 @@ _MARK[list(MARKS)] = True
 #: Every byte of UTF-8 but continuations begins a code point.
 _POINT = (np.arange(256) & 0xC0) != 0x80
 
+#: State on disk, changes of a batch in a log; no disk is set aside for stores that hold little.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
 CHANGE = "id bigint, named boolean, part string, mask int, n bigint"
 FACT = "slice bigint, digest binary, " + CHANGE + ", sure boolean"
 COUNTER = "part string, mask int, n bigint, good bigint, toxic bigint"
@@ -201,14 +208,15 @@ def audit(
         sums.write.mode("overwrite").parquet(f"{place}/counters/batch={number}")
 
     spark.createDataFrame([], COUNTER).write.mode("overwrite").parquet(f"{place}/counters/batch=-1")
-    store = "spark.sql.streaming.stateStore.providerClass"
-    former = spark.conf.get(store)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    former = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     try:
         writer = changes.writeStream.outputMode("update").foreachBatch(enter).trigger(availableNow=True)
         writer.option("checkpointLocation", f"{place}/progress").start().awaitTermination()
     finally:
-        spark.conf.set(store, former)
+        for name, value in former.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     entered = spark.read.schema(COUNTER).parquet(f"{place}/counters")
     return entered.groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic")])
 

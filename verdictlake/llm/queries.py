@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm import audit, decontaminate, editprint, lm, mixing, quality, shared, simhash, substrings, tokens, toxicity, warc
+from verdictlake.llm import align, audit, decontaminate, editprint, lm, mixing, quality, shared, simhash, substrings, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -90,6 +90,14 @@ def _(spark, sf_dir):
     return decontaminate.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_tokenizer_alignment")
+def _(spark, sf_dir):
+    import public_tokenizers
+
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align.alignments(table(spark, sf_dir, "documents"), *files)
+
+
 @query("op13_filter_audit")
 def _(spark, sf_dir):
     return audit.audit_files(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))

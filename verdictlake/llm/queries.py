@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm import align, audit, decontaminate, editprint, lm, mixing, quality, shared, simhash, substrings, tokens, toxicity, warc
+from verdictlake.llm import align, audit, decontaminate, editprint, lm, mixing, pii, quality, shared, simhash, substrings, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -90,6 +90,11 @@ def _(spark, sf_dir):
     return decontaminate.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op11_personal_data")
+def _(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query("op12_tokenizer_alignment")
 def _(spark, sf_dir):
     import public_tokenizers

@@ -78,8 +78,9 @@ def test_alignment_equals_brute_force(spark, table, prose, files):
 def test_texts_cut_into_pieces_have_the_tokens_of_whole_texts(prose, files):
     a, b = align.loaded(align.ByteLevel, files[0]), align.loaded(align.Pieces, files[1])
     texts = [t for t in ODD if t] + [prose(200, 1), "It's  we'll\n\n  the 12345 ...!? ok x \t y", "a \n b\n c  \n\n d"]
-    assert align.encoded(a, texts).to_pylist() == [e.ids for e in a.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-    assert align.encoded(b, texts).to_pylist() == b.model.encode(texts)
+    assert a.ranked is not None
+    assert a.lists(texts).to_pylist() == [e.ids for e in a.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert b.lists(texts).to_pylist() == b.model.encode(texts)
 
 
 def test_byte_alphabet_is_whole():

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictlake.llm.shared import saved
-from verdictlake.llm.tokens import PIECE
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 1 << 21
 
 #: For the second tokenizer a text is cut in front of a blank that follows another character.
 SPACED = re.compile(r" +[^ ]*")
+# Fixed value: the public word pattern of byte-level vocabularies.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+UNBROKEN = re.compile(r"\S{2000}|\s{2000}")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -41,10 +44,16 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level vocabulary file of the tokenizers library; special strings inside texts are plain text."""
+    """A byte-level vocabulary file of the tokenizers library; special strings inside texts are plain text.
+
+    Where the file's merges are in the order of their ids, the tokens are those of the same vocabulary as
+    ranks, which the tiktoken library finds faster. Other files, and texts with a very long run without
+    a break, go to the tokenizers library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,16 +61,32 @@ class ByteLevel:
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
         byte = byte_alphabet()
-        entries = [""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
-        for entry, id in self.tokenizer.get_vocab(with_added_tokens=True).items():
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        entries = [""] * (max(vocabulary.values()) + 1)
+        for entry, id in vocabulary.items():
             entries[id] = entry
-        self.bytes = pa.array([bytes(byte.get(c, 0x3F) for c in e) for e in entries], pa.binary())
+        spelled = [bytes(byte.get(c, 0x3F) for c in e) for e in entries]
+        self.bytes = pa.array(spelled, pa.binary())
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        model, added = told["model"], {t["id"] for t in told.get("added_tokens", ())}
+        parts = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", ())]
+        plain = (
+            told["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+            and told.get("normalizer") is None
+            and not model.get("ignore_merges")
+            and [vocabulary["".join(m)] for m in parts] == list(range(256, 256 + len(parts)))
+        )
+        ranks = {b: id for id, b in enumerate(spelled) if id not in added}
+        self.ranked = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if plain else None
 
-    def pieces(self, text: str) -> list[str]:
-        return PIECE.findall(" " + text)
+    def _ids(self, text: str) -> list[int]:
+        if self.ranked is None or UNBROKEN.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.ranked.encode_ordinary(text)
 
-    def ids(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def lists(self, texts: list[str]) -> pa.ListArray:
+        return pa.array([self._ids(" " + t) if t else [] for t in texts], pa.list_(pa.int32()))
 
 
 class Pieces:
@@ -80,38 +105,34 @@ class Pieces:
             [bytes([int(m[1], 16)]) if (m := as_byte.fullmatch(n)) else n.replace("▁", " ").encode() for n in names], pa.binary()
         )
 
-    def pieces(self, text: str) -> list[str]:
+    def _pieces(self, text: str) -> list[str]:
         return SPACED.findall(" " + text) if self.split else [" " + text]
 
-    def ids(self, pieces: list[str]) -> list[list[int]]:
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
         found = self.model.encode([p[1:] for p in pieces], num_threads=1)
         # The library adds no space in front of nothing.
         return [self.blank if p == " " else ids for p, ids in zip(pieces, found, strict=True)]
 
+    def lists(self, texts: list[str]) -> pa.ListArray:
+        """Token ids of each text; a piece that occurs often in the block is encoded once."""
+        cut = pa.array([self._pieces(t) if t else [] for t in texts], pa.list_(pa.large_string()))
+        names = pc.list_flatten(cut).dictionary_encode()
+        chosen = pa.array(self._ids(names.dictionary.to_pylist()), pa.list_(pa.int32())).take(names.indices)
+        # Pieces of a document one behind the other: its tokens begin where its first piece's do.
+        at = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(chosen), dtype=np.int64))])
+        return pa.ListArray.from_arrays(pa.array(at[np.asarray(cut.offsets)], pa.int32()), pc.list_flatten(chosen))
+
 
 @functools.lru_cache(maxsize=4)
 def loaded(kind: type, path: str):
     return kind(path)
 
 
-def encoded(tokenizer, texts: list[str]) -> pa.ListArray:
-    """Token ids of each text; a piece that occurs often in the block is encoded once."""
-    cut = [tokenizer.pieces(t) if t else [] for t in texts]
-    lists = pa.array(cut, pa.list_(pa.large_string()))
-    names = pc.list_flatten(lists).dictionary_encode()
-    known = pa.array(tokenizer.ids(names.dictionary.to_pylist()), pa.list_(pa.int32()))
-    chosen = known.take(names.indices)
-    # Pieces of a document one behind the other: its tokens begin where its first piece's do.
-    at = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(chosen), dtype=np.int64))])
-    offsets = at[np.asarray(lists.offsets)]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pc.list_flatten(chosen))
-
-
 class Side:
     """Tokens of one tokenizer over a block, by document: ids, owner and end in bytes of the text."""
 
     def __init__(self, tokenizer, texts: list[str]):
-        self.lists, self.bytes = encoded(tokenizer, texts), tokenizer.bytes
+        self.lists, self.bytes = tokenizer.lists(texts), tokenizer.bytes
 
     def whole(self, texts: list[str]) -> list[bool]:
         """Whether the bytes of a text's tokens are a space and the text."""
@@ -132,26 +153,24 @@ class Side:
         before = np.concatenate([[0], running])[first]
         self.end = running - before[self.doc]
 
-    def table(self) -> pa.Table:
-        return pa.table({"doc": self.doc, "end": self.end, f"at{id(self)}": np.arange(len(self.ids))})
-
 
 def aligned(a: Side, b: Side, n: int) -> tuple:
     """Groups per document, the group text's hash, and (doc, pair, times) of all links."""
-    here, there = a.table(), b.table()
-    common = here.join(there, keys=["doc", "end"], join_type="inner")
-    # Ends are distinct inside a document, so (doc, end) is a token of each side at most once.
+    # A document and an end as one number; ends are distinct inside a document.
+    stride = int(max(a.end.max(initial=0), b.end.max(initial=0))) + 1
+    place_a, place_b = a.doc * stride + a.end, b.doc * stride + b.end
+    here = pa.table({"place": place_a, "of_a": np.arange(len(a.ids))})
+    there = pa.table({"place": place_b, "of_b": np.arange(len(b.ids))})
+    common = here.join(there, keys="place", join_type="inner")
     cut_a, cut_b = np.zeros(len(a.ids), bool), np.zeros(len(b.ids), bool)
-    cut_a[np.asarray(common[here.column_names[2]])] = True
-    cut_b[np.asarray(common[there.column_names[2]])] = True
+    cut_a[np.asarray(common["of_a"])] = True
+    cut_b[np.asarray(common["of_b"])] = True
     n_groups = np.bincount(a.doc[cut_a], minlength=n)
     group_a = np.cumsum(cut_a) - cut_a
     group_b = np.cumsum(cut_b) - cut_b
 
     # Each piece of text between two neighbouring ends of either side is one link.
-    stride = int(max(a.end.max(initial=0), b.end.max(initial=0))) + 1
-    place_a, place_b = a.doc * stride + a.end, b.doc * stride + b.end
-    edges = np.union1d(place_a, place_b)
+    edges = np.sort(np.concatenate([place_a, place_b[~cut_b]]), kind="stable")
     x, y = np.searchsorted(place_a, edges), np.searchsorted(place_b, edges)
     links = pa.table({"doc": a.doc[x], "pair": a.ids[x] << 32 | b.ids[y]})
     pairs = links.group_by(["doc", "pair"]).aggregate([("pair", "count")]).sort_by("doc")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm import decontaminate, mixing, nearcopies, quality, substrings
+from verdictlake.llm import decontaminate, mixing, quality, simhash, substrings
 from verdictlake.llm.shared import saved
 from verdictlake.session import configure
 
@@ -27,21 +27,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, the document with the smallest id stays; rows repeated as they are count as one.
+    """Of each SimHash group, with the operator's own shingles and distance, the document with the smallest id stays.
 
-    Near copies are linked by five-word shingles of similarity 0.8 or more, each link verified. Where
-    an id has several texts of a group, one of them stays. Documents without words are alike, so one of
-    them stays. A document without an id goes if its group has one with an id; groups without any id
-    keep their different texts.
+    Documents without an id come after all others, those that share an id in the order of a hash of their
+    text; rows repeated as they are count as one. Documents without words are alike, so one of them stays.
     """
     configure(spark)
-    groups = saved(nearcopies.near_groups(docs), "near-groups")
-    least = F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "body"))).alias("least")
-    first = groups.groupBy("component").agg(least)
-    stays = F.col("least").isNull() | (F.col("doc").eqNullSafe(F.col("least.doc")) & (F.col("body") == F.col("least.body")))
-    kept_keys = groups.join(first, "component").filter(stays).select(F.col("doc").alias("first_id"), F.col("body").alias("first_body"))
-    same = docs.doc_id.eqNullSafe(kept_keys.first_id) & (body_of(docs) == kept_keys.first_body)
-    return docs.join(kept_keys.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    key = F.struct(docs.doc_id.isNull().alias("unnamed"), docs.doc_id.alias("first_id"), body_of(docs).alias("first_body"))
+    groups = simhash.near_groups(docs.select(key.alias("doc_key"), docs.text.alias("text")), id="doc_key")
+    first = groups.select("component_id.*").distinct()
+    same = docs.doc_id.eqNullSafe(first.first_id) & (body_of(docs) == first.first_body)
+    return docs.join(first.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,9 +69,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it, in the order in which it is first served."""
+    """The documents of the mix with the words that it takes of each, in the order in which they are first served."""
     configure(spark)
-    served = mixing.scheduled(docs, keep=("source",))
+    served = mixing.scheduled(docs, keep=("source",)).filter("taken > 0")
     in_order = served.orderBy(F.col("passes")[0]["finish"], "doc_id")
     return in_order.select("doc_id", F.col("mix_source").alias("source"), "size", "source_size", "target", "taken")
 

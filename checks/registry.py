@@ -70,7 +70,7 @@ def _(spark, sf):
 
 @query("d1_metrics_timeseries_lineitem")
 def _(spark, sf):
-    return metrics.metrics_timeseries(d.lineitem_results(spark, sf), d.lineitem_runs(spark, sf))
+    return metrics.metrics_timeseries(spread(d.lineitem_results(spark, sf)), d.lineitem_runs(spark, sf))
 
 
 @query("d1_metrics_timeseries_runs")
@@ -97,7 +97,7 @@ def _(spark, sf):
 
 @query("d4_latency_percentile_lineitem")
 def _(spark, sf):
-    return metrics.latency_percentiles(d.lineitem_results(spark, sf), ["model_name"])
+    return metrics.latency_percentiles(spread(d.lineitem_results(spark, sf)), ["model_name"])
 
 
 @query("d4_latency_percentile_approx")
@@ -630,7 +630,7 @@ def _event_points(spark, sf):
 
 
 def _lineitem_points(spark, sf):
-    points = metrics.metrics_timeseries(d.lineitem_results(spark, sf), d.lineitem_runs(spark, sf))
+    points = metrics.metrics_timeseries(spread(d.lineitem_results(spark, sf)), d.lineitem_runs(spark, sf))
     return scratch.saved(points, "points")
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 from fractions import Fraction
@@ -11,6 +12,8 @@ from verdictlake.functions.ordinals import first_per_group, number_rows, trailin
 from verdictlake.functions.quantiles import (
     interpolated_units,
     percentile_ranks,
+    histograms,
+    order_statistics,
     rank_values,
     upper_median_rank,
     value_bucket,
@@ -72,11 +75,26 @@ def test_rank_values_on_skewed_groups(spark):
         assert rows[g].p95 == reference_percentile(values, 95) * 100
 
 
-def test_rank_values_reads_the_counts_once(spark, plan_of):
-    df = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 101).alias("v"))
-    out = rank_values(df, ["g"], "v", percentile_ranks(50, "p50"))
+def test_histograms_are_the_first_and_only_shuffle_of_all_rows(spark, plan_of):
+    df = spark.range(100_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 100_003).alias("v"), F.lit("t").alias("text"))
+    parts = histograms(df, ["g"], "v", {"total": F.sum("v")})
+    plan = plan_of(parts)
+    assert re.findall(r"hashpartitioning\(([^)]*)\)", plan) and "v#" not in "".join(re.findall(r"hashpartitioning\(([^)]*)\)", plan))
+    # A group has one row per bucket, however many rows it holds, and parts of a table add up.
+    assert parts.groupBy("g").count().agg(F.max("count")).first()[0] < 18 * 16
+    halves = [histograms(df.filter(f"id % 2 = {k}"), ["g"], "v", {"total": F.sum("v")}) for k in (0, 1)]
+    added = halves[0].unionByName(halves[1]).groupBy("g", "_bucket").agg(F.sum("_count").alias("_count"), F.sum("total").alias("total"))
+    assert sorted(map(tuple, added.collect())) == sorted(map(tuple, parts.collect()))
+    # The wanted buckets are sent to the rows, so only rows of those are counted by value.
+    out = order_statistics(df, ["g"], "v", percentile_ranks(95, "p95"), {"total": F.sum("v")})
     out.collect()
-    assert "ReusedExchange" in plan_of(out) or plan_of(out).count("Range (") == 1
+    assert re.search(r"BroadcastHashJoin \[g#\d+L, _bucket#\d+L\]", plan_of(out))
+
+
+def test_order_statistics_keep_groups_without_values(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", None, 2), ("b", 4, 3), (None, 5, 4)], "g string, v bigint, w int")
+    out = order_statistics(df, ["g"], "v", {"mid": upper_median_rank}, {"w": F.sum("w")})
+    assert sorted(tuple(r) for r in out.select("g", "w", "n", "mid").collect()) == [("a", 3, 0, None), ("b", 3, 1, 4)]
 
 
 def test_rank_values_ignores_nulls_and_empty_input(spark):

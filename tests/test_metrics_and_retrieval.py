@@ -163,3 +163,11 @@ def test_results_table_rounds_half_up(spark):
     )
     got = [(r["ROUGE-L"], r["Hallucination"], r["Latency (ms)"]) for r in retrieval.results_table(df).collect()]
     assert got == [(0.124, "clean", 13), (0.123, "flagged", 12)]
+
+
+def test_a_group_without_latencies_keeps_its_point(spark):
+    rows = [("r", "m", 0.5, 0.25, None, True), ("r", "m", 0.7, 0.25, None, False), ("r", "n", 0.1, 0.1, 3.0, False)]
+    results = spark.createDataFrame(rows, "run_id string, model_name string, rouge1 double, rougeL double, latency_ms double, hallucination_flag boolean")
+    got = {r.model_name: r for r in metrics.run_model_points(results).collect()}
+    assert (got["m"].rouge1_mean, got["m"].halluc_rate, got["m"].latency_p50, got["m"].latency_p95) == (0.6, 0.5, 0.0, 0.0)
+    assert got["n"].latency_p50 == 3.0

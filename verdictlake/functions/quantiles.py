@@ -1,10 +1,10 @@
 """Exact order statistics per group that never hold a group in one task.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here a group is cut
-into value buckets: counts per (group, value) are combined map-side, counts per
-(group, bucket) tell which bucket holds a wanted rank, and only the values of those
-buckets are put in order. A group that holds most of the table is therefore spread over
-as many tasks as it has buckets.
+``percentile`` keeps every distinct value of a group in one buffer. Here the first aggregate is a
+histogram: counts and sums per (group, value bucket), combined map-side, so a group of any size
+costs one row per bucket and task. A group's histogram tells which buckets hold the wanted ranks;
+only rows of those buckets are read again, counted by value and put in order. A group that holds
+most of the table is spread over as many tasks as it has buckets.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictlake.functions.exact import idiv
+from verdictlake.sources.scratch import saved
 
-# Buckets per doubling of the value: a bucket spans about 2% of its value, and a group has
-# fewer than a thousand of them up to values of 2**30.
-BUCKETS_PER_OCTAVE = 32
+# Buckets per doubling of the value: a bucket spans about 4% of its value, and a group has
+# fewer than five hundred of them up to values of 2**30.
+BUCKETS_PER_OCTAVE = 16
 
 Rank = Callable[[Column], Column]
 
@@ -31,63 +32,78 @@ def value_bucket(value: Column) -> Column:
     return F.coalesce(signed, F.lit(0).cast("bigint"))
 
 
-def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Rank]) -> DataFrame:
-    """For each group: its row count ``n`` and the values at 0-based ranks of the sorted group.
+def histograms(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column]) -> DataFrame:
+    """One row per (group, value bucket): keys, _bucket, the number _count of values, and ``sums``.
 
-    ``ranks`` maps an output name to a function from the row count to the rank. ``value``
-    must be a whole number; rows with a null key or value are left out.
+    ``sums`` maps names to sums or counts over rows, so histograms of parts of a table add up. Rows with a null
+    key are left out; rows without a value count in ``sums`` only.
     """
-    keys = list(keys)
-    present = F.col(value).isNotNull()
+    present = F.lit(True)
     for key in keys:
         present = present & F.col(key).isNotNull()
-    counts = (
+    return (
         df.filter(present)
-        .select(*keys, F.col(value).alias("_v"))
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_cnt"))
-        .withColumn("_bucket", value_bucket(F.col("_v")))
+        .withColumn("_bucket", value_bucket(F.col(value)))
+        .groupBy(*keys, "_bucket")
+        .agg(F.count(value).alias("_count"), *[total.alias(name) for name, total in sums.items()])
     )
 
+
+def _groups(parts: DataFrame, keys: Sequence[str], ranks: dict[str, Rank], sums: Sequence[str]) -> DataFrame:
+    """One row per group: keys, ``sums``, n, and _held, the buckets that hold a wanted rank with the values before them."""
     # Both frames share one order, so the buckets of a group are sorted once.
     ordered = Window.partitionBy(*keys).orderBy("_bucket")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    buckets = (
-        counts.groupBy(*keys, "_bucket")
-        .agg(F.sum("_cnt").alias("_in_bucket"))
-        .withColumns(
-            {
-                "n": F.sum("_in_bucket").over(whole),
-                "_before": F.sum("_in_bucket").over(so_far) - F.col("_in_bucket"),
-            }
-        )
+    placed = parts.withColumns(
+        {"n": F.sum("_count").over(whole), "_before": F.sum("_count").over(so_far) - F.col("_count")}
     )
-    n = F.col("n")
-    wanted = F.lit(False)
+    n, wanted = F.col("n"), F.lit(False)
     for rank in ranks.values():
-        wanted = wanted | (
-            (rank(n) >= F.col("_before")) & (rank(n) < F.col("_before") + F.col("_in_bucket"))
-        )
-    targets = buckets.filter(wanted).select(*keys, "_bucket", "_before", "n")
+        wanted = wanted | ((rank(n) >= F.col("_before")) & (rank(n) < F.col("_before") + F.col("_count")))
+    held = F.collect_list(F.when(wanted, F.struct("_bucket", "_before")))
+    return placed.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in sums], F.max("n").alias("n"), held.alias("_held"))
+
 
+def order_statistics(
+    df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Rank], sums: dict[str, Column] | None = None
+) -> DataFrame:
+    """For each group: keys, ``sums``, ``n`` and the values at 0-based ranks of the sorted group, null if it has none.
+
+    ``ranks`` maps an output name to a function from the row count to the rank. ``value`` must be a whole
+    number. The histograms are written to the shared folder, one row per group; from the size of that table
+    Spark chooses how the buckets looked for meet the rows, and sends them to the rows where they are few.
+    """
+    keys = list(keys)
+    sums = sums or {}
+    groups = saved(_groups(histograms(df, keys, value, sums), keys, ranks, list(sums)), "histograms")
+    targets = groups.select(*keys, "n", F.explode("_held").alias("_held")).select(*keys, "n", "_held.*")
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    rows = rows.withColumn("_bucket", value_bucket(F.col("_v")))
+    counts = (
+        rows.join(targets, [*keys, "_bucket"])
+        .groupBy(*keys, "_bucket", "_before", "n", "_v")
+        .agg(F.count(F.lit(1)).alias("_cnt"))
+    )
     in_order = (
         Window.partitionBy(*keys, "_bucket")
         .orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = (
-        counts.join(targets, [*keys, "_bucket"])
-        .withColumn("_end", F.col("_before") + F.sum("_cnt").over(in_order))
-        .withColumn("_start", F.col("_end") - F.col("_cnt"))
+    placed = counts.withColumn("_end", F.col("_before") + F.sum("_cnt").over(in_order)).withColumn(
+        "_start", F.col("_end") - F.col("_cnt")
     )
+    n = F.col("n")
     picks = [
-        F.max(
-            F.when((rank(n) >= F.col("_start")) & (rank(n) < F.col("_end")), F.col("_v"))
-        ).alias(name)
+        F.max(F.when((rank(n) >= F.col("_start")) & (rank(n) < F.col("_end")), F.col("_v"))).alias(name)
         for name, rank in ranks.items()
     ]
-    return placed.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    return groups.drop("_held").join(placed.groupBy(*keys).agg(*picks), keys, "left")
+
+
+def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Rank]) -> DataFrame:
+    """``order_statistics`` of the groups that have a value."""
+    return order_statistics(df, keys, value, ranks).filter("n > 0")
 
 
 def percentile_ranks(pct: int, name: str) -> dict[str, Rank]:

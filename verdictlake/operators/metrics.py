@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verdictlake.functions import exact
 from verdictlake.functions.quantiles import (
     interpolated_units,
+    order_statistics,
     percentile_ranks,
     rank_values,
     upper_median_rank,
@@ -30,14 +31,14 @@ def _units(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _sums(units: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return units.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.sum("rouge1_u").alias("rouge1_sum"),
-        F.sum("rougeL_u").alias("rougeL_sum"),
-        exact.flag_count(F.col("hallucination_flag")).alias("flagged"),
-        F.sum("latency_u").alias("latency_sum"),
-    )
+def _sums() -> dict[str, Column]:
+    return {
+        "cnt": F.count(F.lit(1)),
+        "rouge1_sum": F.sum("rouge1_u"),
+        "rougeL_sum": F.sum("rougeL_u"),
+        "flagged": exact.flag_count(F.col("hallucination_flag")),
+        "latency_sum": F.sum("latency_u"),
+    }
 
 
 def _score_mean(total: str, places: int = 4) -> Column:
@@ -49,27 +50,21 @@ def _rate() -> Column:
 
 
 def _percentile(pct: int, name: str, places: int) -> Column:
-    """An interpolated latency percentile in ms; the interpolation has 4 decimals."""
+    """An interpolated latency percentile in ms, 0 without latencies; the interpolation has 4 decimals."""
     one = F.lit(1).cast("bigint")
-    return exact.rounded_ratio(interpolated_units(pct, name), one, 4, places)
+    return F.coalesce(exact.rounded_ratio(interpolated_units(pct, name), one, 4, places), F.lit(0.0))
 
 
 def _profile(results: DataFrame, keys: Sequence[str], latency_places: int) -> DataFrame:
     """Means, flag rate and latency percentiles per group."""
-    units = _units(results, keys)
     ranks = {**percentile_ranks(50, "p50"), **percentile_ranks(95, "p95")}
-    ordered = rank_values(units, keys, "latency_u", ranks)
-    return (
-        _sums(units, keys)
-        .join(ordered, list(keys))
-        .select(
-            *keys,
-            _score_mean("rouge1_sum").alias("rouge1_mean"),
-            _score_mean("rougeL_sum").alias("rougeL_mean"),
-            _rate().alias("halluc_rate"),
-            _percentile(50, "p50", latency_places).alias("latency_p50"),
-            _percentile(95, "p95", latency_places).alias("latency_p95"),
-        )
+    return order_statistics(_units(results, keys), keys, "latency_u", ranks, _sums()).select(
+        *keys,
+        _score_mean("rouge1_sum").alias("rouge1_mean"),
+        _score_mean("rougeL_sum").alias("rougeL_mean"),
+        _rate().alias("halluc_rate"),
+        _percentile(50, "p50", latency_places).alias("latency_p50"),
+        _percentile(95, "p95", latency_places).alias("latency_p95"),
     )
 
 
@@ -161,7 +156,8 @@ def model_aggregate(results: DataFrame) -> DataFrame:
 def model_means(results: DataFrame) -> DataFrame:
     """Per model: mean scores, flag rate and mean latency, to 4 decimals."""
     latency = exact.rounded_ratio(F.col("latency_sum"), F.col("cnt"), exact.LATENCY_PLACES, 4)
-    return _sums(_units(results, ["model_name"]), ["model_name"]).select(
+    totals = _units(results, ["model_name"]).groupBy("model_name").agg(*[c.alias(name) for name, c in _sums().items()])
+    return totals.select(
         "model_name",
         _score_mean("rouge1_sum").alias("rouge1"),
         _score_mean("rougeL_sum").alias("rougeL"),
@@ -173,24 +169,19 @@ def model_means(results: DataFrame) -> DataFrame:
 def model_comparison(results: DataFrame, keys: Sequence[str] = ("model_name",)) -> DataFrame:
     """Unrounded means, flag rate, upper median latency and answer count per group."""
     keys = list(keys)
-    units = _units(results, keys)
-    middle = rank_values(units, keys, "latency_u", {"middle": upper_median_rank})
+    totals = order_statistics(_units(results, keys), keys, "latency_u", {"middle": upper_median_rank}, _sums())
     count = F.col("cnt").cast("double")
 
     def mean(total: str) -> Column:
         return exact.unscaled(F.col(total).cast("double") / count, exact.SCORE_PLACES)
 
-    return (
-        _sums(units, keys)
-        .join(middle.select(*keys, "middle"), keys)
-        .select(
-            *keys,
-            mean("rouge1_sum").alias("rouge1"),
-            mean("rougeL_sum").alias("rougeL"),
-            (F.col("flagged").cast("double") / count).alias("halluc_rate"),
-            exact.unscaled(F.col("middle"), exact.LATENCY_PLACES).alias("latency_p50"),
-            F.col("cnt").alias("answers"),
-        )
+    return totals.select(
+        *keys,
+        mean("rouge1_sum").alias("rouge1"),
+        mean("rougeL_sum").alias("rougeL"),
+        (F.col("flagged").cast("double") / count).alias("halluc_rate"),
+        exact.unscaled(F.col("middle"), exact.LATENCY_PLACES).alias("latency_p50"),
+        F.col("cnt").alias("answers"),
     )
 
 

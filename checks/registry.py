@@ -105,6 +105,22 @@ def _(spark, sf):
     return metrics.approximate_latency_percentiles(d.lineitem_results(spark, sf), ["model_name"])
 
 
+@query("d4_latency_sketches")
+def _(spark, sf):
+    """Percentiles per model from stored sketches per run; whether their ranks are within 1% of the answers."""
+    results = d.lineitem_results(spark, sf)
+    stored = scratch.saved(metrics.latency_sketches(results), "sketches")
+    told = metrics.sketched_percentiles(stored, ["model_name"])
+    latency = F.col("latency_ms")
+
+    def close(pct: int):
+        value = F.col(f"latency_p{pct}_approx")
+        below, upto = F.count(F.when(latency < value, 1)), F.count(F.when(latency <= value, 1))
+        return ((below <= F.col("n") * ((pct + 1) / 100)) & (upto >= F.col("n") * ((pct - 1) / 100))).alias(f"p{pct}_close")
+
+    return results.join(told, "model_name").groupBy("model_name", "n").agg(close(50), close(95))
+
+
 @query("d5_model_aggregate")
 def _(spark, sf):
     return metrics.model_aggregate(d.event_results(spark, sf))
@@ -246,7 +262,7 @@ def _(spark, sf):
 def _(spark, sf):
     s = d.samples(spark, sf).select("pos", *SAMPLE_COLUMNS)
     new = s.filter(F.col("difficulty") == "hard").withColumn("prompt", F.concat(F.lit("Again: "), "prompt"))
-    out = ingest.append_generated(s, new, F.floor(F.col("pos") / 16000), ["pos"])
+    out = ingest.append_generated(s, new, ["pos"])
     return out.drop("pos")
 
 
@@ -310,7 +326,7 @@ def _(spark, sf):
         F.when(F.col("c") % 7 == 0, "").otherwise(F.col("prompt")).alias("prompt"),
         F.when(F.col("t") == 4, None).otherwise(F.col("expected")).alias("expected"),
     )
-    return ingest.adhoc_samples(given, F.floor(F.col("pos") / 16000), ["pos"])
+    return ingest.adhoc_samples(given, ["pos"])
 
 
 # ---------------------------------------------------------------- plan and joins
@@ -341,6 +357,21 @@ def _(spark, sf):
     return planning.attach_responses(_plan(spark, sf), d.responses(spark, sf))
 
 
+@query("b2_duplicate_ids")
+def _(spark, sf):
+    """Every call is planned twice and has two replies, which differ."""
+    plan, replies = _plan(spark, sf), d.responses(spark, sf)
+    again = replies.withColumn("response_text", F.concat("response_text", F.lit(" again")))
+    return planning.attach_responses(plan.unionByName(plan), replies.unionByName(again))
+
+
+@query("b3_duplicate_ids")
+def _(spark, sf):
+    """Every call is planned twice and has one reply."""
+    plan = _plan(spark, sf)
+    return planning.failed_calls(plan.unionByName(plan), d.responses(spark, sf)).select("run_id", "sample_id", "model_name")
+
+
 @query("b2_answers")
 def _(spark, sf):
     s = d.samples(spark, sf).select("dataset", "file", "pos", *SAMPLE_COLUMNS[:4])

@@ -153,6 +153,8 @@ FROM (SELECT model_name, list_sort(list(latency_u)) AS v, count(*) AS n FROM res
 ORACLES["d4_latency_percentile_lineitem"] = ORACLES["d4_latency_percentile"].replace(
     EVENT_RESULTS, LINEITEM_RESULTS
 )
+ORACLES["d4_latency_sketches"] = """SELECT l_returnflag || l_linestatus AS model_name, count(*) AS n,
+  true AS p50_close, true AS p95_close FROM lineitem GROUP BY ALL"""
 ORACLES["d5_model_aggregate"] = f"WITH {EVENT_RESULTS} {_per_model(4)}"
 ORACLES["d6_cli_summary"] = f"""WITH {EVENT_RESULTS}
 SELECT model_name, {_mean('rouge1_u')} AS rouge1, {_mean('rougel_u')} AS rougeL, {RATE} AS hallucination_flag,
@@ -265,6 +267,12 @@ FROM placed p, models, (VALUES ('false'), ('true')) k(kind) WHERE kind = 'false'
 ORACLES["b2_response_attach"] = f"""WITH {RESPONSES}
 SELECT run_id, sample_id, prompt, expected, domain, model_name, response_text, latency_ms,
   coalesce(input_tokens, 0) AS input_tokens, output_tokens, 0.0::DOUBLE AS estimated_cost_usd FROM responses"""
+ORACLES["b2_duplicate_ids"] = f"""{ORACLES["b2_response_attach"]}
+UNION ALL SELECT run_id, sample_id, prompt, expected, domain, model_name, response_text || ' again', latency_ms,
+  coalesce(input_tokens, 0), output_tokens, 0.0::DOUBLE FROM responses"""
+ORACLES["b3_duplicate_ids"] = f"""WITH {PLANNED}
+SELECT run_id, sample_id, model_name FROM planned
+UNION ALL SELECT run_id, sample_id, model_name FROM planned WHERE (c * 7 + t * 3 + m * 5) % 23 = 0"""
 ORACLES["b2_answers"] = ORACLES["b2_response_attach"]
 ORACLES["b3_failed_calls"] = f"""WITH {PLANNED}
 SELECT run_id, sample_id, model_name FROM planned WHERE (c * 7 + t * 3 + m * 5) % 23 = 0"""

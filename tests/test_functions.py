@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdictlake.functions import exact, nli, text
-from verdictlake.functions.ordinals import first_per_group, number_rows, trailing_sum
+from verdictlake.functions.ordinals import first_per_group, number_rows, ordinals, trailing_sum
 from verdictlake.functions.quantiles import (
     interpolated_units,
     percentile_ranks,
@@ -306,3 +306,61 @@ def test_numbers_with_null_keys_and_slices(spark):
     taken = spark.createDataFrame([(None, 10)], "k string, taken int")
     got = {(r.k, r.p): r.no for r in number_rows(df, ["k"], F.col("p"), ["p"], "no", already=taken).collect()}
     assert got == {("a", 0): 1, ("a", 1): 2, ("a", None): 3, (None, 1): 11, (None, 2): 12}
+
+
+def test_ordinals_of_a_hot_group_are_exact(spark, plan_of):
+    # 9000 of 10000 rows are one group, some keys are null.
+    df = spark.range(10_000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 30).alias("g"), (F.col("id") * 7919 % 10_007).alias("pos"), F.lit("t").alias("text")
+    )
+    taken = spark.createDataFrame([(10, 5)], "g bigint, taken bigint")
+    got = ordinals(df.repartition(5), ["g"], ["pos"], "no", already=taken)
+    rows = [(r.g, r.pos, r.no) for r in got.collect()]
+    groups = {}
+    for g, pos, no in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        groups.setdefault(g, []).append(no)
+    assert {g: len(n) for g, n in groups.items()} == {None: 9000, 0: 334, 10: 333, 20: 333}
+    assert all(n == list(range(1 + 5 * (g == 10), len(n) + 1 + 5 * (g == 10))) for g, n in groups.items())
+    whole = ordinals(df, [], ["pos"], "no")
+    assert sorted(r.no for r in whole.collect()) == list(range(1, 10_001))
+    # The one window over everything has a row per partition.
+    plan = plan_of(whole)
+    assert "SinglePartition" not in plan.split("Window")[0]
+
+
+def test_blocked_subsequence_equals_the_plain_one():
+    import random as r
+
+    from verdictlake.functions.rouge import _overlap_udf
+
+    rng = r.Random(8)
+    pairs = [(["x"] * 40, ["x"] * 23), ([], ["a"]), (["a"], [])]
+    pairs += [([rng.choice("abcd") for _ in range(rng.randrange(60))], [rng.choice("abcde") for _ in range(rng.randrange(60))]) for _ in range(60)]
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+        return row[-1]
+
+    left, right = (pd.Series([" ".join(p[k]) for p in pairs]) for k in (0, 1))
+    want = [plain(a, b) for a, b in pairs]
+    for block in (1, 3, 16, 8192):
+        assert _overlap_udf(["lcs"], block).func(left, right)["overlap_lcs"].tolist() == want
+
+
+def test_blocked_subsequence_of_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    from verdictlake.functions.rouge import _overlap_udf
+
+    a = [f"w{k}" for k in range(60_000)]
+    left, right = pd.Series([" ".join(a)]), pd.Series([" ".join(a[::200])])
+    tracemalloc.start()
+    got = _overlap_udf(["lcs"]).func(left, right)["overlap_lcs"].tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # One mask a word as long as the text would take 450 MB.
+    assert got == [300] and peak < 60e6

@@ -135,7 +135,7 @@ def test_append_continues_the_numbers_of_each_domain(spark):
         [(f"?{i}", f"p{i}", "e", domain, [], "hard", i) for i, domain in enumerate(["law", "code", "law"])],
         SAMPLE + ", pos bigint",
     )
-    out = ingest.append_generated(existing, new, F.floor(F.col("pos") / 2), ["pos"])
+    out = ingest.append_generated(existing, new, ["pos"])
     assert sorted(r.sample_id for r in out.collect()) == ["code_auto_001", "law_auto_003", "law_auto_004", "x1", "x2"]
 
 
@@ -143,7 +143,7 @@ def test_adhoc_samples(spark):
     given = spark.createDataFrame(
         [("q1", "a1", 0), ("", "a", 1), ("q", None, 2), (" ", "a3", 3)], "prompt string, expected string, pos bigint"
     )
-    out = ingest.adhoc_samples(given, F.floor(F.col("pos") / 2), ["pos"]).orderBy("sample_id").collect()
+    out = ingest.adhoc_samples(given, ["pos"]).orderBy("sample_id").collect()
     assert [(r.sample_id, r.prompt, r.domain, r.tags) for r in out] == [
         ("custom_001", "q1", "custom", ["custom"]),
         ("custom_002", " ", "custom", ["custom"]),
@@ -211,6 +211,20 @@ def test_answers_equal_the_plan_joined_to_replies(spark):
         assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, by_plan.collect()))
 
 
+def test_calls_with_equal_ids_take_one_reply_each(spark, small_plan):
+    replies = spark.createDataFrame(
+        [("r", "a", "m1", t, 1.0, None, 2) for t in ("x", "y")] + [("r", "b", "m1", "z", 1.0, 1, 2)],
+        "run_id string, sample_id string, model_name string, response_text string, latency_ms double, input_tokens int, output_tokens int",
+    )
+    thrice = small_plan.unionByName(small_plan).unionByName(small_plan)
+    got = planning.attach_responses(thrice, replies).collect()
+    assert sorted((r.sample_id, r.response_text) for r in got) == [("a", "x"), ("a", "y"), ("b", "z")]
+    left = planning.failed_calls(thrice, replies).groupBy("sample_id", "model_name").count().collect()
+    assert {(r.sample_id, r.model_name): r["count"] for r in left} == {("a", "m1"): 1, ("b", "m1"): 2, ("a", "m2"): 3, ("b", "m2"): 3}
+    told = {r.model_name: (r.planned, r.answered) for r in planning.call_coverage(thrice, replies).collect()}
+    assert told == {"m1": (6, 3), "m2": (6, 0)}
+
+
 def test_batch_generate_keeps_failed_calls(spark, small_plan):
     def make():
         def ask(model, prompt, system):

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdictlake.sources.scratch import saved
+
 
 def number_rows(
     df: DataFrame,
@@ -40,6 +42,45 @@ def number_rows(
     )
 
 
+def ordinals(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], out: str, already: DataFrame | None = None
+) -> DataFrame:
+    """Number the rows of each group from 1 in the order of ``order_by``, whatever the size of a group.
+
+    Rows are range-partitioned by (keys, order) and written to the shared folder with their place in their
+    partition; only the row count per (group, partition) is brought together. A group that holds most of the
+    table is spread over as many partitions as its rows fill. ``order_by`` should tell rows apart, since equal
+    ones share a partition. ``already`` (keys + ``taken``) starts a group after the numbers taken there. Null
+    keys form a group of their own, null orders come first.
+    """
+    keys = list(keys)
+    by = [*keys, *order_by]
+    in_order = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    # The lower 33 bits count the rows of a partition.
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = saved(in_order.withColumns({"_part": F.spark_partition_id(), "_place": place}), "ordinals")
+    parts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first"))
+    ahead = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")
+    shift = F.sum("_size").over(ahead) - F.col("_size") - F.col("_first") + 1
+    offsets = parts.select(*keys, "_part", shift.alias("_shift"))
+    if already is not None:
+        offsets = _null_safe(offsets, already.select(*keys, "taken"), keys, "left").withColumn(
+            "_shift", F.col("_shift") + F.coalesce("taken", F.lit(0))
+        ).drop("taken")
+    return (
+        _null_safe(placed, offsets, [*keys, "_part"], "inner")
+        .withColumn(out, F.col("_place") + F.col("_shift"))
+        .drop("_part", "_place", "_shift")
+    )
+
+
+def occurrence(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Number the rows of equal keys from 1, in an order that depends on the rows alone."""
+    others = [c for c in df.columns if c not in keys]
+    place = Window.partitionBy(*keys).orderBy(F.xxhash64(*(others or keys)))
+    return df.withColumn(out, F.row_number().over(place))
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on equal keys, null equal to null, keeping the keys once."""
     renamed = right.withColumnsRenamed({k: f"_{k}_of_right" for k in keys})

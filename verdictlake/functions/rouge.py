@@ -19,6 +19,8 @@ from verdictlake.functions.exact import rounded_ratio_units, unscaled
 # (an n-gram length, or the longest common subsequence).
 SEPARATOR = "[^a-z0-9]+"
 SCORES = {"rouge1": 1, "rouge2": 2, "rougeL": "lcs"}
+#: Reference words per block of the longest common subsequence: a block's bit masks take 8 MB at most.
+LCS_BLOCK = 8192
 
 
 def tokens(text: Column) -> Column:
@@ -26,7 +28,7 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SEPARATOR), "")
 
 
-def _overlap_udf(kinds: Sequence[int | str]):
+def _overlap_udf(kinds: Sequence[int | str], block: int = LCS_BLOCK):
     # Everything the workers need is nested here, so it travels with the function.
     fields = ", ".join(f"overlap_{k} bigint" for k in kinds)
 
@@ -40,16 +42,25 @@ def _overlap_udf(kinds: Sequence[int | str]):
             return sum(min(count, grams[g]) for g, count in other.items() if g in grams)
 
         def common_subsequence(a, b):
-            # Bit-parallel recurrence: zero bits mark the matched reference positions.
-            full = (1 << len(a)) - 1
-            places = {}
-            for i, token in enumerate(a):
-                places[token] = places.get(token, 0) | 1 << i
-            open_bits = full
-            for token in b:
-                hit = open_bits & places.get(token, 0)
-                open_bits = (open_bits + hit | open_bits - hit) & full
-            return len(a) - open_bits.bit_count()
+            # Bit-parallel recurrence: zero bits mark the matched reference positions. The reference is taken
+            # in blocks of positions; what an addition carries out of a block enters the next at the same word
+            # of the answer. Memory is one byte a word of the answer and a bounded table of a block's words.
+            matched, carried = 0, bytearray(len(b))
+            for begin in range(0, len(a), block):
+                part = a[begin : begin + block]
+                full = (1 << len(part)) - 1
+                places = {}
+                for i, token in enumerate(part):
+                    places[token] = places.get(token, 0) | 1 << i
+                open_bits = full
+                for j, token in enumerate(b):
+                    hit, carry = open_bits & places.get(token, 0), carried[j]
+                    if hit or carry:
+                        total = open_bits + hit + carry
+                        open_bits = (total & full) | (open_bits - hit)
+                        carried[j] = total >> len(part)
+                matched += len(part) - open_bits.bit_count()
+            return matched
 
         rows = []
         for left, right in zip(reference, answer):

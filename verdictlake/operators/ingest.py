@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdictlake.functions.ordinals import number_rows
+from verdictlake.functions.ordinals import ordinals
 from verdictlake.functions.text import posix_path
 
 # Fixed values of the data model.
@@ -108,13 +108,10 @@ def default_model(catalog: DataFrame) -> DataFrame:
     return catalog.filter("available").agg(F.min("name").alias("name")).filter(F.col("name").isNotNull())
 
 
-def append_generated(existing: DataFrame, new: DataFrame, slice_by: Column, order: Sequence[str]) -> DataFrame:
-    """Append new samples, numbered per domain after the ones the domain already has.
-
-    ``slice_by`` cuts the new samples into ranges that follow ``order``, see ``number_rows``.
-    """
+def append_generated(existing: DataFrame, new: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Append new samples, numbered per domain in ``order`` after the ones the domain already has."""
     taken = existing.groupBy("domain").agg(F.count(F.lit(1)).alias("taken"))
-    numbered = number_rows(new, ["domain"], slice_by, order, "_no", already=taken)
+    numbered = ordinals(new, ["domain"], order, "_no", already=taken)
     named = numbered.withColumn("sample_id", F.format_string("%s_auto_%03d", "domain", "_no"))
     return existing.unionByName(named.select(*existing.columns))
 
@@ -125,10 +122,10 @@ def check_adhoc_samples(given: DataFrame) -> DataFrame:
     return given.withColumn("reject_reason", F.when(empty, EMPTY_TEXT))
 
 
-def adhoc_samples(given: DataFrame, slice_by: Column, order: Sequence[str]) -> DataFrame:
+def adhoc_samples(given: DataFrame, order: Sequence[str]) -> DataFrame:
     """The accepted ad-hoc samples as a suite of their own."""
     kept = accepted(check_adhoc_samples(given))
-    numbered = number_rows(kept, [], slice_by, order, "_no")
+    numbered = ordinals(kept, [], order, "_no")
     return numbered.select(
         F.format_string("custom_%03d", "_no").alias("sample_id"),
         "prompt",

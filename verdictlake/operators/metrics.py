@@ -18,6 +18,7 @@ from verdictlake.functions.quantiles import (
 
 RUN_MODEL = ("run_id", "model_name")
 DEFAULT_POINTS = 100
+SKETCH_SIZE = 2000
 
 
 def _units(results: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -148,6 +149,30 @@ def approximate_latency_percentiles(
     )
 
 
+def latency_sketches(results: DataFrame, keys: Sequence[str] = RUN_MODEL, size: int = SKETCH_SIZE) -> DataFrame:
+    """A mergeable KLL sketch of the latencies of each group, a few kilobytes whatever its size, to be stored."""
+    units = results.select(*keys, exact.latency_units(F.col("latency_ms")).alias("_u")).filter(F.col("_u").isNotNull())
+    return units.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_bigint("_u", F.lit(size)).alias("sketch"))
+
+
+def sketched_percentiles(
+    sketches: DataFrame, keys: Sequence[str], percentiles: Sequence[int] = (50, 95)
+) -> DataFrame:
+    """Latency percentiles of wider groups from stored sketches of narrower ones, without their answers.
+
+    Ranks are off by at most 0.2% of n, nearly always, at the default size.
+    """
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch").alias("_all"))
+    return merged.select(
+        *keys,
+        "n",
+        *[
+            exact.unscaled(F.kll_sketch_get_quantile_bigint("_all", F.lit(p / 100)), exact.LATENCY_PLACES).alias(f"latency_p{p}_approx")
+            for p in percentiles
+        ],
+    )
+
+
 def model_aggregate(results: DataFrame) -> DataFrame:
     """Per model: score means, flag rate, median and 95th percentile latency, all to 4 decimals."""
     return _profile(results, ["model_name"], latency_places=4).orderBy("model_name")

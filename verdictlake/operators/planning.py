@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from verdictlake import schemas
 from verdictlake.functions import exact
+from verdictlake.functions.ordinals import occurrence
 from verdictlake.operators.ingest import smoke_limit
 
 CALL_KEYS = ("run_id", "sample_id", "model_name")
@@ -50,10 +51,12 @@ def attach_responses(
 ) -> DataFrame:
     """Answered calls: sample fields with reply fields; missing token counts are 0, the cost is 0.
 
-    Replies with an error or without a text are no answers.
+    Replies with an error or without a text are no answers. Of calls with equal keys, as of samples that share
+    an id, the k-th meets the k-th reply, so n calls and m replies make no more than min(n, m) answers.
     """
     replies = responses.filter(usable(responses)).select(*keys, "response_text", "latency_ms", "input_tokens", "output_tokens")
-    return _filled(plan.join(replies, list(keys)))
+    each = [*keys, "_nth"]
+    return _filled(occurrence(plan, keys, "_nth").join(occurrence(replies, keys, "_nth"), each).drop("_nth"))
 
 
 def answered_calls(replies: DataFrame) -> DataFrame:
@@ -77,7 +80,10 @@ def answers(samples: DataFrame, runs: DataFrame, responses: DataFrame) -> DataFr
     )
 
     def matched(of: DataFrame, chosen: DataFrame) -> DataFrame:
-        return of.join(chosen.drop("_smoke"), ["dataset", "sample_id"])
+        # Of samples that share an id, the k-th takes the k-th reply of each run and model.
+        sample = ["dataset", "sample_id"]
+        of, chosen = occurrence(of, sample, "_nth"), occurrence(chosen.drop("_smoke"), CALL_KEYS, "_nth")
+        return of.join(chosen, [*sample, "_nth"]).drop("_nth")
 
     found = matched(samples, replies.filter(~F.col("_smoke")))
     if "smoke_test" in runs.columns:
@@ -96,18 +102,24 @@ def _filled(answered: DataFrame) -> DataFrame:
 
 
 def failed_calls(plan: DataFrame, responses: DataFrame, keys: Sequence[str] = CALL_KEYS) -> DataFrame:
-    """Planned calls without a usable reply; see ``scoring.failures`` for the reasons."""
-    return plan.join(responses.filter(usable(responses)).select(*keys), list(keys), "left_anti")
+    """Planned calls without a usable reply; see ``scoring.failures`` for the reasons.
+
+    Of n calls with equal keys and m replies, n - m remain.
+    """
+    replied = responses.filter(usable(responses)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_replied"))
+    numbered = occurrence(plan, keys, "_nth").join(replied, list(keys), "left")
+    return numbered.filter(F.col("_nth") > F.coalesce("_replied", F.lit(0))).drop("_nth", "_replied")
 
 
 def call_coverage(plan: DataFrame, responses: DataFrame, keys: Sequence[str] = CALL_KEYS) -> DataFrame:
     """Per (run, model): planned and answered calls. A run without any reply keeps its row."""
-    answered = responses.filter(usable(responses)).select(*keys).distinct().withColumn("_hit", F.lit(1))
+    replied = responses.filter(usable(responses)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_replied"))
+    calls = plan.groupBy(*keys).agg(F.count(F.lit(1)).alias("_calls"))
+    answered = F.least("_calls", F.coalesce("_replied", F.lit(0)))
     return (
-        plan.select(*keys)
-        .join(answered, list(keys), "left")
+        calls.join(replied, list(keys), "left")
         .groupBy("run_id", "model_name")
-        .agg(F.count(F.lit(1)).alias("planned"), F.count("_hit").alias("answered"))
+        .agg(F.sum("_calls").alias("planned"), F.sum(answered).alias("answered"))
     )
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 from fractions import Fraction
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,7 +329,7 @@ def test_ordinals_of_a_hot_group_are_exact(spark, plan_of):
     assert "SinglePartition" not in plan.split("Window")[0]
 
 
-def test_blocked_subsequence_equals_the_plain_one():
+def test_blocked_subsequence_equals_the_plain_one(spark):
     import random as r
 
     from verdictlake.functions.rouge import _overlap_udf
@@ -351,7 +352,7 @@ def test_blocked_subsequence_equals_the_plain_one():
         assert _overlap_udf(["lcs"], block).func(left, right)["overlap_lcs"].tolist() == want
 
 
-def test_blocked_subsequence_of_a_long_text_takes_little_memory():
+def test_blocked_subsequence_of_a_long_text_takes_little_memory(spark):
     import tracemalloc
 
     from verdictlake.functions.rouge import _overlap_udf

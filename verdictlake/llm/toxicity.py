@@ -272,9 +272,8 @@ def train(
     known = labels.filter(F.col(label).isNotNull() & F.col(label_id).isNotNull() & ~held_out(F.col(label_id)))
     one = known.groupBy(F.col(label_id).alias("known_id")).agg(F.max(label).alias("known_label"))
     sample = one.orderBy(F.xxhash64("known_id", F.lit(3)), "known_id").limit(labelled)
-    seen = docs.join(F.broadcast(sample), docs[id] == F.col("known_id")).select(
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), "known_label"
-    )
+    narrow = docs.select(F.col(id).alias("seen_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    seen = narrow.join(F.broadcast(sample), F.col("seen_id") == F.col("known_id")).select("text", "known_label")
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     low, high = STEM_LETTERS
     stems = F.flatten(

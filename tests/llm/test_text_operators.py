@@ -187,32 +187,80 @@ def test_lm_base_scores_are_exact_and_the_model_helps(spark, table, prose):
 def test_a_filter_above_the_bound_is_asked_in_parts_and_scores_the_same(spark, table, prose, monkeypatch):
     rows = [(k, prose(80, k % 40) if k % 4 else prose(60, k)) for k in range(160)] + [(500 + k, t) for k, t in enumerate(ODD)] + [(None, "a b")]
     want = lm.scores(table(rows)).collect()
-    monkeypatch.setattr(lm, "MOST_BITS", 1 << 13)
     monkeypatch.setattr(lm, "SCORE_SLICE", 1 << 12)
-    got = lm.scores(table(rows)).collect()
+    got = lm.scores(table(rows), most_bits=1 << 13).collect()
     near = [sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows_) for rows_ in (got, want)]
     assert near[0] == near[1]
     # Several parts and several slices of text, which have the same answers as the whole filter.
     monkeypatch.setattr(lm, "SLICE_GRAMS", 50)
-    monkeypatch.setattr(lm, "MOST_BITS", 1 << 30)
     whole = lm.scores(table(rows)).collect()
-    monkeypatch.setattr(lm, "MOST_BITS", 1 << 13)
-    dealt = lm.scores(table(rows)).collect()
+    dealt = lm.scores(table(rows), most_bits=1 << 13).collect()
     assert sorted((str(r.doc_id), round(r.score, 6)) for r in dealt) == sorted((str(r.doc_id), round(r.score, 6)) for r in whole)
 
 
 def test_filter_levels_are_never_too_low(spark, prose):
     rng = np.random.default_rng(5)
     gram = np.unique(rng.integers(0, 1 << 62, 4000).astype(np.uint64))
-    made = lm.Filter(np.zeros(1 << 14, np.uint8), 4, (1 << 17) // 4)
+    made = lm.Filter(np.zeros(1 << 11, np.uint64), 4, 1 << 9)
     count = rng.integers(1, 50, len(gram))
     for g, q in zip(gram, lm.level(count, 1), strict=True):
         for k in range(1, q + 1):
             for place in made.places(np.array([g]), k):
-                made.bits[int(place[0]) >> 3] |= 1 << (int(place[0]) & 7)
+                at = int(made.begin(np.array([g]))[0]) * 64 + int(place[0])
+                made.bits[at >> 6] |= np.uint64(1 << (at & 63))
     assert (lm.level(made.counts(gram, 1), 1) >= lm.level(count, 1)).all()
 
 
+def test_lm_scores_equal_a_model_of_quantised_counts(spark, table, prose, monkeypatch):
+    """With a filter so large that no probe hits by chance, scores are those of the counts at their levels."""
+    monkeypatch.setattr(lm, "BITS_PER_TOKEN", 20_000)
+    rows = [(k, prose(80, k % 40) if k % 4 else prose(60, k)) for k in range(160)] + [(500 + k, t) for k, t in enumerate(ODD)]
+    split = {i: WORD.findall(lower(t or "")) + [" "] for i, t in rows}
+    training = [ws for i, ws in split.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    count, pair = Counter(), Counter()
+    for ws in training:
+        count.update(ws)
+        pair.update(zip(ws, ws[1:], strict=False))
+    n, v = sum(count.values()), len(count)
+
+    def quantised(c, kind):
+        return lm.value_of_levels(kind)[lm.level(np.array([c]), kind)[0]] if c else 0.0
+
+    def shares(ws, own):
+        seen = [max(quantised(count[w], 0) - own, 0) for w in ws]
+        for k, w in enumerate(ws):
+            plain = (seen[k] + 1) / (n + v + 1)
+            if k == 0:
+                yield plain, 0.0, None
+                continue
+            before = max(seen[k - 1], 1)
+            both = max(quantised(pair[ws[k - 1], w], 1) - own, 0)
+            yield plain, min(both, seen[k], before) / before, min(int(math.log2(before)), lm.CONTEXTS - 1)
+
+    gain = np.zeros((lm.CONTEXTS, len(lm.MIXES)))
+    for ws in training:
+        for plain, after, kind in shares(ws, 1):
+            if kind is not None:
+                gain[kind] += np.log((1 - lm.MIXES) * plain + lm.MIXES * after)
+    best = np.where(gain.any(axis=1), lm.MIXES[gain.argmax(axis=1)], 0.1)
+    want = {}
+    for i, ws in split.items():
+        want[i] = sum(math.log10(p if k is None else (1 - best[k]) * p + best[k] * a) for p, a, k in shares(ws, 0))
+    got = {r.doc_id: r.score for r in lm.scores(table(rows)).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def test_the_list_of_frequent_words_stays_in_its_bound(spark):
+    words = [(f"w{k}".encode(), 2000) for k in range(3000)] + [(f"x{k}".encode(), 5000 + k) for k in range(50)]
+    vocab = spark.createDataFrame(words, "word binary, n bigint")
+    value, n, least = lm.head_of(vocab, 100)
+    assert len(value) == 50 and n.min() == 5000 == least
+    assert len(lm.head_of(vocab, 10)[0]) <= 10
+    assert len(lm.head_of(vocab, 4000)[0]) == 3050
+    assert len(lm.head_of(vocab.filter("n = 2000"), 100)[0]) == 0
+
+
 def test_quality_keeps_prose_and_rejects_junk(spark, table, prose):
     good = [(k, prose(60, k).capitalize() + ".") for k in range(120)]
     junk = [(1000 + k, " ".join(w + "$#%"[j % 3] * 3 for j, w in enumerate(prose(60, 900 + k).split()))) for k in range(40)]

@@ -5,8 +5,9 @@ entries, one for each level up to q, into a Bloom filter. Asking for level 1, 2,
 is missing gives the level back, never too low and rarely too high. The filter grows with the tokens.
 Up to ``MOST_BITS`` it is broadcast; a larger one stays dealt in parts, and the distinct n-grams of
 the texts travel to the parts that hold them and their levels back, so both give the same. The score mixes the smoothed probability of a word with its share after the word before
-it; the mixing weights depend on how often that word was seen and are chosen on training
-documents with each token's own occurrence taken off.
+it; the mixing weights depend on how often that word was seen and are chosen on all training
+documents with each token's own occurrence taken off: tokens are counted by class and by the ratio of
+both shares, and the counts give the likelihood of every weight.
 
 The plain base score needs the exact count of every token. Words at or above a count that keeps
 the list within ``HEAD`` entries are looked up in a broadcast list; the others are joined.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,17 @@ MOST_BITS = 1 << 30
 PART_SLICES = 64
 #: N-grams in a slice of the filter, about; a task makes one slice at a time.
 SLICE_GRAMS = 400_000
-#: Ratio of neighbouring levels for words and pairs.
+#: N-grams that are asked at once.
+BLOCK = 1 << 14
+#: Ratio of neighbouring levels for words and pairs, and levels that any 64-bit count stays within.
 BASES = (1.1, 1.5)
-LEVELS = (220, 60)
+LEVELS = (460, 110)
 
 HEAD = 250_000
-DEVELOP = 1000
 MIXES = np.array([0.0, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 CONTEXTS = 12
+#: Classes of the ratio of both shares: class 0 is no pair, the others have eight an octave.
+RATIOS = 1 + 8 * 128
 
 #: Bytes of text that are counted at once, and scored at once: scoring holds many numbers per word.
 TEXT_SLICE = 1 << 22
@@ -66,40 +70,65 @@ def value_of_levels(kind: int) -> np.ndarray:
     return np.array(out)
 
 
+def slice_of(gram: np.ndarray, n_slices: int) -> np.ndarray:
+    """The slice of each n-gram; sorted n-grams go through the slices in order."""
+    return (gram >> np.uint64(32)) * np.uint64(n_slices) >> np.uint64(32)
+
+
 @dataclass
 class Filter:
-    """Bits in slices; an n-gram's entries all lie in the slice its hash names. ``bits`` begin with slice ``first``."""
+    """64-bit words in slices. An n-gram's entries all lie in the slice its hash names, each in one word.
+
+    ``bits`` begin with slice ``first``. ``known`` are sorted words that have been asked already, with
+    the levels found.
+    """
 
     bits: np.ndarray
     slices: int
-    slice_bits: int
+    slice_words: int
     first: int = 0
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    known_levels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
-    def places(self, gram: np.ndarray, q: int | np.ndarray) -> Iterator[np.ndarray]:
-        """Bit numbers of the entries (gram, q), one array per probe."""
-        entry = mix(gram + np.uint64(0x9E3779B97F4A7C15) * np.asarray(q).astype(np.uint64))
-        first, step = entry & np.uint64(0xFFFFFFFF), (entry >> np.uint64(32)) | np.uint64(1)
-        begin = (gram % np.uint64(self.slices) - np.uint64(self.first)) * np.uint64(self.slice_bits)
-        for k in range(PROBES):
-            yield begin + (first + np.uint64(k) * step) % np.uint64(self.slice_bits)
+    def begin(self, gram: np.ndarray) -> np.ndarray:
+        return (slice_of(gram, self.slices) - np.uint64(self.first)) * np.uint64(self.slice_words)
 
-    def having(self, gram: np.ndarray, q: int) -> np.ndarray:
-        """Positions of the n-grams with an entry for level q; each probe is for those the last one left."""
-        entry = mix(gram + np.uint64(0x9E3779B97F4A7C15) * np.uint64(q))
-        first, step = entry & np.uint64(0xFFFFFFFF), (entry >> np.uint64(32)) | np.uint64(1)
-        begin = (gram % np.uint64(self.slices) - np.uint64(self.first)) * np.uint64(self.slice_bits)
-        left = np.arange(len(gram))
+    def entry(self, gram: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word inside the slice, hash whose lowest bits name the bits of the word) of the entries for level q."""
+        value = mix(gram + np.uint64(0x9E3779B97F4A7C15 * q & (1 << 64) - 1))
+        return (value >> np.uint64(32)) * np.uint64(self.slice_words) >> np.uint64(32), value
+
+    def places(self, gram: np.ndarray, q: int) -> Iterator[np.ndarray]:
+        """Bit numbers inside the slice of the entries for level q, one array per probe."""
+        word, value = self.entry(gram, q)
         for k in range(PROBES):
-            place = begin[left] + (first[left] + np.uint64(k) * step[left]) % np.uint64(self.slice_bits)
-            left = left[(self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-        return left
+            yield word * np.uint64(64) + (value >> np.uint64(6 * k) & np.uint64(63))
 
     def levels(self, gram: np.ndarray, kind: int) -> np.ndarray:
         """Levels by asking one after the other; 0 for n-grams without an entry."""
+        gram, back = np.unique(gram, return_inverse=True)
+        q = np.zeros(len(gram), dtype=np.int64)
+        left = np.arange(len(gram))
+        if kind == 0 and len(self.known):
+            at = np.minimum(np.searchsorted(self.known, gram), len(self.known) - 1)
+            hit = self.known[at] == gram
+            q[hit], left = self.known_levels[at[hit]], left[~hit]
+        # N-grams are in the order of their slices: a block's bits stay in the processor's cache.
+        for block in range(0, len(left), BLOCK):
+            at = left[block : block + BLOCK]
+            q[at] = self._asked(gram[at], kind)
+        return q[back]
+
+    def _asked(self, gram: np.ndarray, kind: int) -> np.ndarray:
         q = np.zeros(len(gram), dtype=np.int64)
-        alive = np.arange(len(gram))
+        alive, begin, one = np.arange(len(gram)), self.begin(gram), np.uint64(1)
         for ask in range(1, LEVELS[kind] + 1):
-            alive = alive[self.having(gram[alive], ask)]
+            word, value = self.entry(gram, ask)
+            wanted = one << (value & np.uint64(63))
+            for k in range(1, PROBES):
+                wanted |= one << (value >> np.uint64(6 * k) & np.uint64(63))
+            hit = self.bits[begin + word] & wanted == wanted
+            alive, gram, begin = alive[hit], gram[hit], begin[hit]
             if not len(alive):
                 break
             q[alive] = ask
@@ -116,7 +145,7 @@ class Parts:
 
     table: DataFrame
     slices: int
-    slice_bits: int
+    slice_words: int
 
 
 @dataclass
@@ -218,12 +247,18 @@ def word_hashes(column: pa.Array) -> np.ndarray:
     return out
 
 
+def distinct_of(value: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    value = np.sort(value)
+    return value[np.append(True, value[1:] != value[:-1])] if len(value) else value
+
+
 def asked(token: np.ndarray, first: np.ndarray, n_slices: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For words and for pairs: (distinct n-grams sorted, their order by part, the part of each in that order)."""
     gram, inside = pairs(token, first)
     out = []
-    for one in (np.unique(unigram(np.unique(token))), np.unique(gram[inside])):
-        part = (one % np.uint64(n_slices)).astype(np.int64) // PART_SLICES
+    for one in (np.sort(unigram(distinct_of(token))), distinct_of(gram[inside])):
+        part = slice_of(one, n_slices).astype(np.int64) // PART_SLICES
         order = np.argsort(part, kind="stable")
         out.append((one, order, part[order]))
     return out
@@ -232,11 +267,11 @@ def asked(token: np.ndarray, first: np.ndarray, n_slices: int) -> list[tuple[np.
 def answered(texts: DataFrame, parts_: Parts) -> DataFrame:
     """(docs, texts, answers) for columns doc and text, by slices of ``SCORE_SLICE`` bytes of text.
 
-    ``answers`` has (kind, part, levels): a byte for each distinct n-gram of the slice in that part, in
+    ``answers`` has (kind, part, levels): two bytes for each distinct n-gram of the slice in that part, in
     the order of ``asked``. A part's task holds its bits and reads the n-grams one slice of text after
     the other.
     """
-    n_slices, slice_bits = parts_.slices, parts_.slice_bits
+    n_slices, slice_words = parts_.slices, parts_.slice_words
     doc = texts.schema["doc"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,15 +311,15 @@ def answered(texts: DataFrame, parts_: Parts) -> DataFrame:
             for row, own in enumerate(part):
                 if own != current:
                     current = own
-                    bits = np.zeros(PART_SLICES * slice_bits // 8, dtype=np.uint8)
-                    held = Filter(bits, n_slices, slice_bits, own * PART_SLICES)
-                data = np.frombuffer(batch.column(3)[row].as_buffer(), np.uint8 if kind[row] == 0 else np.uint64)
+                    bits = np.zeros(PART_SLICES * slice_words, dtype=np.uint64)
+                    held = Filter(bits, n_slices, slice_words, own * PART_SLICES)
+                data = np.frombuffer(batch.column(3)[row].as_py(), np.uint64)
                 if kind[row] == 0:
-                    at = (number[row] - held.first) * slice_bits // 8
+                    at = (number[row] - held.first) * slice_words
                     held.bits[at : at + len(data)] = data
                 else:
                     rows.append(row)
-                    levels.append(held.levels(data, kind[row] - 1).astype(np.uint8).tobytes())
+                    levels.append(held.levels(data, kind[row] - 1).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number[r] for r in rows], pa.int64()),
@@ -314,17 +349,17 @@ def read_answers(token: np.ndarray, first: np.ndarray, n_slices: int, answers: l
         q = np.zeros(len(one), dtype=np.int64)
         for own in (r for r in answers if r["kind"] == kind):
             a, b = np.searchsorted(of, [own["part"], own["part"] + 1])
-            q[order[a:b]] = np.frombuffer(own["levels"], np.uint8)
+            q[order[a:b]] = np.frombuffer(own["levels"], np.uint16)
         grams.append(one)
         found.append(q)
     return Answers(grams, found)
 
 
-def build(training: DataFrame, vocab: DataFrame, tokens: int) -> Filter | Parts:
+def build(training: DataFrame, vocab: DataFrame, tokens: int, most_bits: int = MOST_BITS) -> Filter | Parts:
     """Count pairs, quantise all counts and set the bits; a task makes whole slices, of fixed size."""
     n_slices = max(1, math.ceil(1.2 * tokens / SLICE_GRAMS))
-    slice_bits = max(1024, BITS_PER_TOKEN * tokens // n_slices // 8 * 8)
-    shape = Filter(np.zeros(0, np.uint8), n_slices, slice_bits)
+    slice_words = max(16, BITS_PER_TOKEN * tokens // n_slices // 64)
+    shape = Filter(np.zeros(0, np.uint64), n_slices, slice_words)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -347,7 +382,7 @@ def build(training: DataFrame, vocab: DataFrame, tokens: int) -> Filter | Parts:
 
     def _grams(gram: np.ndarray, n: np.ndarray, kind: int) -> pa.RecordBatch:
         """One row for each slice that a batch has n-grams of: their hashes, and counts with the kind in the last bit."""
-        part = gram % np.uint64(n_slices)
+        part = slice_of(gram, n_slices)
         order = np.argsort(part, kind="stable")
         gram, n = gram[order], n[order].astype(np.uint64) * np.uint64(2) + np.uint64(kind)
         one, begin = np.unique(part[order], return_index=True)
@@ -381,7 +416,7 @@ def build(training: DataFrame, vocab: DataFrame, tokens: int) -> Filter | Parts:
     def made(number, held) -> pa.RecordBatch:
         gram = np.frombuffer(b"".join(g for g, _ in held), np.uint64)
         n = np.frombuffer(b"".join(c for _, c in held), np.uint64).astype(np.int64)
-        out = np.zeros(slice_bits, dtype=bool)
+        out = np.zeros(slice_words * 64, dtype=bool)
         for kind in (0, 1):
             own = (n & 1) == kind
             one, back = np.unique(gram[own], return_inverse=True)
@@ -390,7 +425,7 @@ def build(training: DataFrame, vocab: DataFrame, tokens: int) -> Filter | Parts:
             upto = 1
             while len(one):
                 for place in shape.places(one, upto):
-                    out[(place % np.uint64(slice_bits)).astype(np.int64)] = True
+                    out[place.astype(np.int64)] = True
                 upto += 1
                 on = q >= upto
                 one, q = one[on], q[on]
@@ -402,19 +437,24 @@ def build(training: DataFrame, vocab: DataFrame, tokens: int) -> Filter | Parts:
     rows = "slice int, grams binary, counts binary"
     grams = vocab.select("word", "n").mapInArrow(single, rows).unionByName(training.select("text").mapInArrow(double, rows))
     filled = grams.repartition("slice").sortWithinPartitions("slice").mapInArrow(fill, "slice int, bits binary")
-    if n_slices * slice_bits > MOST_BITS:
-        return Parts(saved(filled, "filter"), n_slices, slice_bits)
-    bits = np.zeros(n_slices * slice_bits // 8, dtype=np.uint8)
+    if n_slices * slice_words * 64 > most_bits:
+        return Parts(saved(filled, "filter"), n_slices, slice_words)
+    bits = np.zeros(n_slices * slice_words, dtype=np.uint64)
     for row in filled.collect():
-        bits[row.slice * slice_bits // 8 : (row.slice + 1) * slice_bits // 8] = np.frombuffer(row.bits, np.uint8)
-    return Filter(bits, n_slices, slice_bits)
+        bits[row.slice * slice_words : (row.slice + 1) * slice_words] = np.frombuffer(row.bits, np.uint64)
+    return Filter(bits, n_slices, slice_words)
 
 
 def head_of(vocab: DataFrame, limit: int = HEAD) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sorted hashes, counts, least count) of the words frequent enough that at most ``limit`` are."""
-    held = vocab.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
-    total, least = 0, 1001
-    for row in sorted(held, key=lambda r: -r.n):
+    """(sorted hashes, counts, least count) of the words frequent enough that at most ``limit`` are.
+
+    Counts are grouped, one by one up to 1000 and 64 to an octave above, so there are some thousand
+    groups at most; a group is listed whole or not at all.
+    """
+    group = F.when(F.col("n") > 1000, F.lit(1000) + F.ceil(64 * F.log2(F.col("n") / 1000))).otherwise(F.col("n"))
+    held = vocab.groupBy(group.alias("group")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
+    total, least = 0, (1 << 63) - 1
+    for row in sorted(held, key=lambda r: -r.group):
         if total + row.words > limit:
             break
         total, least = total + row.words, row.n
@@ -450,33 +490,36 @@ def asking(batches: Iterator[pa.RecordBatch], model_filter: Filter | None, n_sli
             yield docs, texts, w, token, first, asked_of
 
 
-def choose_mixes(training: DataFrame, model_filter: Filter | Parts, tokens: int, distinct: int, develop: int) -> np.ndarray:
-    """The mixing weight of each context class that gives ``develop`` training documents the highest likelihood."""
+def choose_mixes(training: DataFrame, model_filter: Filter | Parts, tokens: int, distinct: int) -> np.ndarray:
+    """The mixing weight of each context class that gives the training documents the highest likelihood.
+
+    A weight m adds log(1 + m (r - 1)) to a token's log share, where r is its share after the word before
+    it over its plain share; tokens are counted by class and by r in steps of an eighth of an octave.
+    """
     whole = isinstance(model_filter, Filter)
     sent, n_slices = training.sparkSession.sparkContext.broadcast(model_filter if whole else None), model_filter.slices
-    chosen = training.select("doc").distinct().orderBy(F.xxhash64("doc", F.lit(5)), "doc").limit(develop)
-    sample = training.join(F.broadcast(chosen), "doc", "left_semi").select("doc", "text")
 
-    def try_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gain = np.zeros((CONTEXTS, len(MIXES)))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(CONTEXTS * RATIOS, dtype=np.int64)
         for _, _, _, token, first, ask in asking(batches, sent.value, n_slices):
             one, back = np.unique(token, return_inverse=True)
             plain, after, kind, inside = parts(ask, token, one, back, first, tokens, distinct, own=1)
-            for k, share in enumerate(MIXES):
-                value = np.log10((1 - share) * plain + share * after, where=inside, out=np.zeros(len(token)))
-                gain[:, k] += np.bincount(kind, weights=value, minlength=CONTEXTS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(gain.size)), pa.array(gain.ravel())], names=["cell", "gain"]
-        )
-
-    read = sample if whole else answered(sample, model_filter)
-    cells = read.mapInArrow(try_all, "cell bigint, gain double").groupBy("cell").agg(F.sum("gain").alias("gain")).collect()
-    gain = np.zeros(CONTEXTS * len(MIXES))
+            ratio = np.zeros(len(token), dtype=np.int64)
+            some = inside & (after > 0)
+            ratio[some] = np.clip(np.floor(8 * np.log2(after[some] / plain[some])) + 8 * 64 + 1, 1, RATIOS - 1)
+            held += np.bincount((kind * RATIOS + ratio)[inside], minlength=len(held))
+        cell = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(held[cell])], names=["cell", "n"])
+
+    read = training.select("doc", "text") if whole else answered(training, model_filter)
+    cells = read.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(CONTEXTS * RATIOS)
     for row in cells:
-        gain[row.cell] = row.gain
+        n[row.cell] = row.n
     sent.unpersist()
-    best = gain.reshape(CONTEXTS, len(MIXES))
-    return np.where(best.any(axis=1), MIXES[best.argmax(axis=1)], 0.1)
+    ratio = np.append(0.0, 2.0 ** ((np.arange(RATIOS - 1) + 0.5) / 8 - 64))
+    gain = n.reshape(CONTEXTS, RATIOS) @ np.log1p(MIXES * (ratio[:, None] - 1))
+    return np.where(n.reshape(CONTEXTS, RATIOS).any(axis=1), MIXES[gain.argmax(axis=1)], 0.1)
 
 
 def scores(
@@ -486,7 +529,7 @@ def scores(
     modulus: int = 7,
     rest: int = 2,
     head: int = HEAD,
-    develop: int = DEVELOP,
+    most_bits: int = MOST_BITS,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id``, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -494,7 +537,8 @@ def scores(
     from the others, whole. Tokens are lower-cased (A-Z) words and one end of text. base_score adds
     log10((c + 1) / (N + V + 1)) over the tokens from exact counts; score is the log10 probability under
     the filter's model. A null or empty text is its end token; a null id hashes as empty text; repeated
-    rows count as often as they occur. Without training documents every token is unknown.
+    rows count as often as they occur. Without training documents every token is unknown. A filter of
+    more than ``most_bits`` is asked in parts, with the same scores.
     """
     held = F.crc32(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary")) % modulus == rest
     narrow = lowered(docs, id, text)
@@ -502,9 +546,13 @@ def scores(
     vocab = vocabulary(training)
     totals = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, distinct = int(totals.n), int(totals.v)
-    made = build(training, vocab, tokens)
-    mixes = choose_mixes(training, made, tokens, distinct, develop)
+    made = build(training, vocab, tokens, most_bits)
     top_hash, top_n, _ = head_of(vocab, head)
+    if isinstance(made, Filter):
+        gram = np.sort(unigram(top_hash))
+        made.known_levels = made.levels(gram, 0)
+        made.known = gram
+    mixes = choose_mixes(training, made, tokens, distinct)
     spark = docs.sparkSession
     whole, n_slices = isinstance(made, Filter), made.slices
     sent = spark.sparkContext.broadcast((Model(made if whole else None, tokens, distinct, mixes), top_hash, top_n))

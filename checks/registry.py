@@ -182,6 +182,15 @@ def _(spark, sf):
     return suites.parse_suites(files)
 
 
+@query("a1_suite_files")
+def _(spark, sf):
+    """Suites written as YAML files, one folder a dataset, and read from the files."""
+    path = scratch.shared_dir(spark, "suites")
+    s = d.samples(spark, sf)
+    suites.write_suites(s.withColumn("name", F.element_at(F.split("dataset", "/"), -1)), path, "name", ["pos"])
+    return suites.load_suites(spark, path).filter(~F.col("dataset").endswith(".yaml")).select("dataset", *SAMPLE_COLUMNS)
+
+
 @query("a2_suite_defaults")
 def _(spark, sf):
     c = F.col("c")
@@ -266,6 +275,22 @@ def _(spark, sf):
     return out.drop("pos")
 
 
+@query("a7_generated_suite")
+def _(spark, sf):
+    """Fenced replies stripped, parsed, numbered after the suite they extend, written with it and read again."""
+    s = d.samples(spark, sf)
+    item = F.struct(F.lit("new").alias("id"), F.concat(F.lit("Again: "), "prompt").alias("prompt"), "expected", "domain", "tags", "difficulty")
+    reply = F.concat(F.lit("```yaml\n["), F.to_json(item), F.lit("]\n```"))
+    replies = s.filter("difficulty = 'hard'").select(
+        F.format_string("%018d", "pos").alias("file"), text.strip_fences(reply).alias("text")
+    )
+    new = suites.good_items(suites.parse_suites(replies)).withColumnRenamed("pos", "place")
+    both = ingest.append_generated(s.select(*SAMPLE_COLUMNS), scratch.saved(new, "generated"), ["file", "place"])
+    path = scratch.shared_dir(spark, "suites")
+    suites.write_suites(both, path, "domain", ["sample_id"])
+    return suites.load_suites(spark, path).filter(~F.col("dataset").endswith(".yaml")).select(*SAMPLE_COLUMNS)
+
+
 @query("a8_fence_strip")
 def _(spark, sf):
     i = F.col("doc_id")
@@ -751,6 +776,16 @@ def _(spark, sf):
     return history.stored_series(spark, runs_path, results_path)
 
 
+@query("p3_health")
+def _(spark, sf):
+    """Results and runs through the store and the series to drift."""
+    runs_path, results_path = scratch.shared_dir(spark, "runs"), scratch.shared_dir(spark, "results")
+    runs = d.runs(spark, sf)
+    store.replace_results(runs.select("run_id"), scratch.saved(d.results(spark, sf), "scored"), results_path)
+    store.save_runs(spark, runs.withColumn("seq", F.lit(0).cast("bigint")), runs_path)
+    return history.health(history.stored_series(spark, runs_path, results_path))["drift"]
+
+
 # ---------------------------------------------------------------- streams
 
 

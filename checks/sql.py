@@ -195,6 +195,9 @@ SELECT sample_id || '.yaml' AS file, 0::BIGINT AS pos, sample_id, prompt, expect
 UNION ALL SELECT sample_id || '.yaml', 1, sample_id || '_r', expected, prompt, 'general', '', 'medium', NULL FROM samples
 UNION ALL SELECT sample_id || '.yaml', 2, sample_id || '_b', NULL, expected, 'general', '', 'medium', 'missing prompt'
   FROM samples"""
+ORACLES["a1_suite_files"] = f"""WITH {SAMPLES}
+SELECT replace(dataset, 'datasets/', 'datasets/suite=') AS dataset, sample_id, prompt, expected, domain, {_TAGS} AS tags, difficulty
+FROM samples"""
 ORACLES["a2_suite_defaults"] = f"""WITH {SAMPLES}
 SELECT sample_id, prompt, expected, CASE WHEN c % 2 = 0 THEN domain ELSE 'general' END AS domain,
   CASE WHEN c % 3 = 0 THEN '' ELSE {_TAGS} END AS tags,
@@ -236,6 +239,7 @@ SELECT sample_id, prompt, expected, domain, {_TAGS} AS tags, difficulty FROM sam
 UNION ALL
 SELECT domain || '_auto_' || printf('%03d', existing + row_number() OVER (PARTITION BY domain ORDER BY c, t)),
   'Again: ' || prompt, expected, domain, {_TAGS}, difficulty FROM counted WHERE difficulty = 'hard'"""
+ORACLES["a7_generated_suite"] = ORACLES["a7_suite_append"]
 ORACLES["a8_fence_strip"] = r"""SELECT doc_id,
   trim(replace(replace(['```yaml', '```', '```json', e' \n```yaml'][doc_id % 4 + 1] || e'\n' || text || e'\n```\t\n',
     '```yaml', ''), '```', ''), e' \t\n\r\f\v') AS text
@@ -456,8 +460,8 @@ SELECT sample_id AS "Sample", model_name AS "Model", ((2 * rougel_u + 10) // 20)
 # ---------------------------------------------------------------- trends
 
 
-def _drift(results: str) -> str:
-    return f"""{_points(results)},
+def _drift(results: str, where: str = "") -> str:
+    return f"""{_points(results, where)},
 timed AS (SELECT *, CAST(round(rougeL_mean * 10000) AS BIGINT) AS u FROM points),
 looked AS (
   SELECT *, sum(u) OVER prior AS before, count(*) OVER prior AS seen FROM timed
@@ -524,6 +528,8 @@ SELECT run_id, dataset, 'completed' AS status,
 FROM asked JOIN sizes s USING (dataset) LEFT JOIN answered a USING (run_id)
 UNION ALL SELECT 'run_none', 'none', 'failed', 'dataset not found', 0, 0, 0"""
 ORACLES["p2_stored_series"] = ORACLES["d1_metrics_timeseries_runs"]
+# A run without a time has no place in the series.
+ORACLES["p3_health"] = _drift(f"{RESULTS},{RUNS}", "WHERE completed_at IS NOT NULL") + " SELECT * FROM drift"
 ORACLES["g1_stream_run_store"] = ORACLES["d1_metrics_timeseries"]
 ORACLES["g2_stream_window_metrics"] = f"""WITH {EVENT_RESULTS}
 SELECT date_trunc('day', ts) AS day, model_name, count(*) AS answers, {_mean('latency_u * 100')} AS latency_mean,

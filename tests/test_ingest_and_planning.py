@@ -314,3 +314,22 @@ def test_suites_fail_on_bad_items_unless_asked_otherwise(spark, suite_dir):
     with pytest.raises(Exception, match="missing prompt|unreadable|not a list"):
         suites.load_suite(spark, str(suite_dir)).collect()
     assert suites.load_suite(spark, str(suite_dir), strict=False).count() > 0
+
+
+def test_written_suites_are_read_as_they_were(spark, tmp_path):
+    rows = [
+        ("a", "x\n\"y\" é 😀\t# : - {", "  lead ", "legal", ["t", "u"], "easy", "one"),
+        ("b", "\\n back \\u0041", "", "g", [], "medium", "one"),
+        ("c", "yes", "null", "1", None, "hard", "two words"),
+        ("d", "del\x7f next\x85 line\u2028 \ufeff \uffff\x01 z", "1e3", "0x10", ["~", "on"], "2024-01-01", "two words"),
+    ]
+    names = "sample_id string, prompt string, expected string, domain string, tags array<string>, difficulty string"
+    table = spark.createDataFrame(rows, names + ", name string")
+    path = str(tmp_path / "suites")
+    suites.write_suites(table, path, "name", ["sample_id"])
+    suites.write_suites(table.limit(1).withColumn("sample_id", F.lit("e")), path, "name", mode="append")
+    read = suites.load_suites(spark, path).filter(~F.col("dataset").endswith(".yaml"))
+    got = {r.sample_id: (r.prompt, r.expected, r.domain, r.tags, r.difficulty, r.dataset) for r in read.collect()}
+    want = {r[0]: (*r[1:6], f"datasets/suite={r[6]}") for r in [*rows, ("e", *rows[0][1:])]}
+    assert got == want and read.count() == 5
+    suites.write_suites(table.limit(0), str(tmp_path / "none"), "name")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ from verdictlake.operators.ingest import (
 )
 
 YAML_FILES = "*.yaml"
+ITEMS_PER_FILE = 10_000
+#: Characters that JSON takes as they are, and that YAML refuses or reads as the end of a line.
+UNSAFE = [chr(c) for c in (*range(0x7F, 0xA0), 0x2028, 0x2029, 0xFEFF, 0xFFFE, 0xFFFF)]
 
 
 def read_suite_files(spark: SparkSession, path: str) -> DataFrame:
@@ -144,3 +148,21 @@ def load_table_suite(spark: SparkSession, path: str, form: str = "parquet") -> D
     """A suite kept as Parquet, JSON lines or ORC, with defaults filled in."""
     table = spark.read.schema(schemas.SAMPLE).format(form).load(path)
     return suite_defaults(table.withColumn("file", F.col("_metadata.file_path")))
+
+
+def write_suites(samples: DataFrame, path: str, suite: str, order: Sequence[str] = (), mode: str = "errorifexists") -> None:
+    """Write samples as YAML suites, one item a line, into a folder ``suite=<name>`` per value of ``suite``.
+
+    Files hold at most ``ITEMS_PER_FILE`` items, in ``order``, since one task parses a file; a large suite
+    is several files. ``mode`` "append" adds files to suites that are there. ``load_suites`` reads the
+    same samples back; a null stays null, but null tags are read as a null list.
+    """
+    item = F.struct(F.col("sample_id").alias("id"), "prompt", "expected", "domain", "tags", "difficulty")
+    line = F.concat(F.lit("- "), F.to_json(item, {"ignoreNullFields": "false"}))
+    safe = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(f"\\u{ord(x):04x}")), UNSAFE, line)
+    line = F.when(line.rlike(f"[{''.join(UNSAFE)}]"), safe).otherwise(line)
+    rows = samples.withColumn("_suite", F.col(suite).cast("string")).hint("rebalance", "_suite")
+    rows = rows.sortWithinPartitions("_suite", *order).select(F.col("_suite").alias("suite"), line.alias("line"))
+    plain = {"quote": "", "sep": "\x01", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    writer = rows.write.mode(mode).partitionBy("suite").option("maxRecordsPerFile", ITEMS_PER_FILE)
+    writer.options(extension="yaml", **plain).csv(path)

@@ -104,3 +104,12 @@ def test_mix_is_in_order_and_cut(spark, table, prose):
 def test_mix_runs_no_python(spark, table, plan_of):
     plan = plan_of(mixing.scheduled(table([(1, "a", "s")], "doc_id bigint, text string, source string")))
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_pages_that_share_an_id_keep_their_own_digests(spark):
+    first, second = "A" * 1200, "B" * 3000
+    rows = [(7, None, first, None, 0), (3, None, first, None, 0), (7, None, second, None, 0), (2, None, second, None, 0)]
+    got = warc.archived(spark, pages_of(spark, rows), shared.new_path(spark, "t")).collect()
+    assert sorted((r.record_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in got) == sorted(
+        (str(i), "response" if i == 7 else "revisit", None if i == 7 else "7", len(t), hashlib.sha1(t.encode()).hexdigest()) for i, _, t, _, _ in rows
+    )

@@ -274,14 +274,16 @@ def read_records(index: DataFrame) -> DataFrame:
 def payload_facts(records: DataFrame) -> DataFrame:
     """Per record: record_id, record_type, refers_to, payload_bytes, payload_digest, both of the full payload.
 
-    Those of a response come from its stored payload, those of a revisit from the response it
-    refers to; rows of one response are dealt over ``SALTS`` tasks.
+    Those of a response come from its stored payload. A revisit names its response and the digest of
+    its payload, and takes both from the stored payload with that name and digest, since several pages
+    may share an id; rows of one response are dealt over ``SALTS`` tasks.
     """
     facts = saved(
         records.select(
             "record_id",
             "record_type",
             "refers_to",
+            F.col("digest").alias("named"),
             F.octet_length("payload").cast("long").alias("payload_bytes"),
             F.when(F.col("payload").isNotNull(), F.sha1("payload")).alias("payload_digest"),
             F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int").alias("salt"),
@@ -289,12 +291,14 @@ def payload_facts(records: DataFrame) -> DataFrame:
         "payload-facts",
     )
     responses, revisits = facts.filter("record_type = 'response'"), facts.filter("record_type = 'revisit'")
-    wanted = revisits.groupBy("refers_to").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    whole = responses.select(F.col("record_id").alias("refers_to"), "payload_bytes", "payload_digest")
-    targets = wanted.join(whole.groupBy("refers_to").agg(
-        F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest")
-    ), "refers_to").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    resolved = revisits.drop("payload_bytes", "payload_digest").join(targets, ["refers_to", "salt"], "left")
+    wanted = revisits.select("refers_to", "named").distinct()
+    stored = responses.select(
+        F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("named"), "payload_bytes", "payload_digest"
+    ).distinct()
+    targets = wanted.join(stored, ["refers_to", "named"]).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
+    resolved = revisits.drop("payload_bytes", "payload_digest").join(targets, ["refers_to", "named", "salt"], "left")
     columns = ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
     return responses.select(*columns).unionByName(resolved.select(*columns))
 

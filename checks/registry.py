@@ -757,13 +757,13 @@ def _(spark, sf):
     samples = d.samples(spark, sf).select("dataset", "file", "pos", *SAMPLE_COLUMNS[:4])
     catalog = samples.select(F.col("dataset").alias("path")).distinct()
     replies = d.responses(spark, sf).filter("run_id <> 'run_0001'")
-    done = evaluation.evaluate_captured(requests, catalog, samples, replies, d.logits(spark, sf))
+    scores = d.logits(spark, sf)
+    done = evaluation.evaluate_captured(requests, catalog, samples, replies, scores)
     never = F.lit(None).cast("timestamp")
     times = requests.select("run_id", *[never.alias(c) for c in ("created_at", "started_at", "completed_at")])
     out = evaluation.finish_runs(done, times).select("run_id", "dataset", "status", "error")
-    for name, rows in (("planned", done.plan), ("results", done.results), ("failed", done.failed)):
-        out = out.join(rows.groupBy("run_id").agg(F.count(F.lit(1)).alias(name)), "run_id", "left")
-    return out.fillna(0, ["planned", "results", "failed"])
+    counts = evaluation.captured_counts(done, samples, replies, scores)
+    return out.join(counts, "run_id", "left").fillna(0, ["planned", "results", "failed"])
 
 
 @query("p2_stored_series")

@@ -176,6 +176,55 @@ def test_eval_plan_keeps_duplicate_samples_and_limits_smoke_runs(spark, plan_of)
     assert planning.eval_plan(samples, runs.drop("smoke_test")).count() == 9
 
 
+def counted(df, name):
+    return {r.run_id: r[name] for r in df.collect()}
+
+
+def test_call_totals_equal_the_plan_and_its_failures(spark):
+    from verdictlake.operators import scoring
+
+    samples = spark.createDataFrame(
+        [("d", "f", i, s) for i, s in enumerate(["a", "a", "b", "c", None])] + [("x", "f", 9, "a"), (None, "f", 10, "a")],
+        "dataset string, file string, pos bigint, sample_id string",
+    )
+    runs = spark.createDataFrame(
+        [
+            ("full", "d", ["m1", "m2", "m1", None], False), ("smoke", "d", ["m1"], True), ("none", "d", [], False),
+            ("null", "d", None, False), ("other", "x", ["m1"], None), ("twice", "d", ["m1"], False),
+            ("twice", "x", ["m1", "m2"], False), ("twice", "d", ["m1"], True), (None, "d", ["m1"], False),
+            ("lost", None, ["m1"], False), ("gone", "missing", ["m1"], False),
+        ],
+        "run_id string, dataset string, models array<string>, smoke_test boolean",
+    )
+    calls = [(r, s, m) for r in ("full", "smoke", "twice", "other", None) for s in ("a", "b", "z", None) for m in ("m1", "m2", "m3", None)]
+    keys = "run_id string, sample_id string, model_name string"
+    replies = spark.createDataFrame(
+        [(*c, "text", None) for c in calls if c[1] != "b"]
+        + [("full", "a", "m1", "again", None), ("full", "b", "m1", None, "timeout"), ("full", "b", "m2", None, None), ("full", "b", "m2", "ok", None)],
+        keys + ", response_text string, error string",
+    )
+    scores = spark.createDataFrame([c for c in calls + calls if c[0] != "other"], keys)
+    for some in (runs, runs.drop("smoke_test")):
+        plan = planning.eval_plan(samples, some)
+        assert counted(planning.planned_counts(samples, some), "planned") == counted(plan.groupBy("run_id").count(), "count")
+        for given in (scores, None):
+            got = scoring.call_totals(samples, some, replies, given)
+            assert counted(got, "planned") == counted(plan.groupBy("run_id").count(), "count")
+            failed = {run: n for run, n in counted(got, "failed").items() if n}
+            assert failed == counted(scoring.failures(plan, replies, given).groupBy("run_id").count(), "count")
+
+
+def test_call_totals_do_not_form_the_plan(spark):
+    from verdictlake.operators import scoring
+
+    n = 1_000_000
+    samples = spark.range(n).selectExpr("'d' AS dataset", "'f' AS file", "id AS pos", "CAST(id AS STRING) AS sample_id")
+    runs = spark.range(n).selectExpr("CAST(id AS STRING) AS run_id", "'d' AS dataset", "array('m1', 'm2') AS models", "false AS smoke_test")
+    replies = spark.range(5).selectExpr("'7' AS run_id", "CAST(id AS STRING) AS sample_id", "'m1' AS model_name", "'t' AS response_text")
+    got = scoring.call_totals(samples, runs, replies).selectExpr("count(*)", "sum(planned)", "sum(failed)").first()
+    assert tuple(got) == (n, 2 * n * n, 2 * n * n - 5)
+
+
 def test_attach_fail_and_coverage(spark, small_plan):
     replies = spark.createDataFrame(
         [("r", "a", "m1", "yes", 1.5, None, 3)],

@@ -310,3 +310,26 @@ def test_captured_evaluation_agrees_with_live(spark, inputs):
     order = ["run_id", "sample_id", "model_name"]
     assert captured.results.orderBy(order).collect() == live.results.orderBy(order).collect()
     assert captured.failed.count() == 3
+    counts = evaluation.captured_counts(captured, samples, replies, scores)
+    assert {r.run_id: (r.planned, r.results, r.failed) for r in counts.collect()} == {"full": (6, 3, 3), "smoke": (2, 2, 0)}
+
+
+def test_run_outcomes_count_calls_without_listing_them(spark, tmp_path, plan_of):
+    import __spark_entry__ as contract
+
+    turns = [(c, t, r, f"text of {c} {t}") for c in range(40) for t, r in enumerate(("user", "assistant"))]
+    rows = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    out = contract.queries()["p1_run_outcomes"](spark, str(tmp_path))
+    got = {r.run_id: (r.status, r.planned, r.results, r.failed) for r in out.collect()}
+    # Runs 0 and 3 share a dataset of 16 samples, runs 1 and 2 have 12 each; run 0 has one model, run 1 no replies.
+    answered = {r: sum((c * 7 + m * 5) % 23 != 0 for c in range(12 * r, min(12 * r + 12, 40)) for m in ([2] if r == 0 else range(4))) for r in range(4)}
+    assert got == {
+        "run_0000": ("completed", 16, answered[0], 16 - answered[0]),
+        "run_0001": ("completed", 48, 0, 48),
+        "run_0002": ("completed", 48, answered[2], 48 - answered[2]),
+        "run_0003": ("completed", 64, answered[3], 64 - answered[3]),
+        "run_none": ("failed", 0, 0, 0),
+    }
+    # A plan opens each run's list of models once for every sample of its dataset.
+    assert "explode(models" not in plan_of(out)

@@ -40,6 +40,45 @@ def eval_plan(samples: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def planned_counts(samples: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per run (run_id, planned): how many rows ``eval_plan(samples, runs)`` has, without forming the plan.
+
+    A plan has a row for every run and sample of its dataset, so it grows with their product. Its size follows
+    from the samples per dataset and the length of each run's list of models.
+    """
+    wanted, asked = _wanted(samples, runs)
+    sizes = asked.groupBy("dataset", "_smoke").agg(F.count(F.lit(1)).alias("_samples"))
+    return _planned(wanted.withColumn("_models", F.size("models")), sizes, ["dataset", "_smoke"])
+
+
+def planned_among(samples: DataFrame, runs: DataFrame, calls: DataFrame) -> DataFrame:
+    """Per run (run_id, planned): how many rows of ``eval_plan(samples, runs)`` have keys that occur in ``calls``.
+
+    Each of ``calls`` finds its run and then the number of samples that share its id; the plan is not formed.
+    """
+    wanted, asked = _wanted(samples, runs)
+    same_id = ["dataset", "sample_id", "_smoke"]
+    sizes = asked.groupBy(*same_id).agg(F.count(F.lit(1)).alias("_samples"))
+    of_model = F.size(F.filter("models", lambda name: name == F.col("model_name")))
+    met = calls.select(*CALL_KEYS).distinct().join(wanted, "run_id").withColumn("_models", of_model)
+    return _planned(met, sizes, same_id)
+
+
+def _wanted(samples: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs and the keys of the samples they ask, both with ``_smoke``: whether only the first samples are meant."""
+    every = samples.select("dataset", "sample_id", F.lit(False).alias("_smoke"))
+    if "smoke_test" not in runs.columns:
+        return runs.select("run_id", "dataset", "models", F.lit(False).alias("_smoke")), every
+    first = smoke_limit(samples).select("dataset", "sample_id", F.lit(True).alias("_smoke"))
+    smoke = F.coalesce("smoke_test", F.lit(False)).alias("_smoke")
+    return runs.select("run_id", "dataset", "models", smoke), every.unionByName(first)
+
+
+def _planned(wanted: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    counted = wanted.filter(F.col("_models") > 0).drop("models").join(sizes, list(keys))
+    return counted.groupBy("run_id").agg(F.sum(F.col("_samples") * F.col("_models")).alias("planned"))
+
+
 def usable(responses: DataFrame) -> Column:
     """Whether a reply counts as an answer: it has a text and no error."""
     good = F.col("response_text").isNotNull()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdictlake import schemas
 from verdictlake.functions import nli
 from verdictlake.functions.rouge import with_rouge
-from verdictlake.operators.planning import CALL_KEYS, usable
+from verdictlake.operators.planning import CALL_KEYS, planned_among, planned_counts, usable
 
 # Reasons of a call without a result.
 NO_REPLY = "no reply"
@@ -72,6 +72,22 @@ def failures(
     return joined.select(*keys, reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
+def call_totals(
+    samples: DataFrame, runs: DataFrame, responses: DataFrame, class_scores: DataFrame | None = None
+) -> DataFrame:
+    """Per run (run_id, planned, failed): the rows of ``eval_plan`` and of ``failures`` over that plan.
+
+    Neither is formed: both grow with the product of runs and samples. A planned call did not fail if its keys
+    have a usable reply and, where class scores are given, have those; all others failed.
+    """
+    good = responses.filter(usable(responses)).select(*CALL_KEYS)
+    if class_scores is not None:
+        good = good.join(class_scores.select(*CALL_KEYS), list(CALL_KEYS), "left_semi")
+    kept = planned_among(samples, runs, good).withColumnRenamed("planned", "_kept")
+    failed = F.col("planned") - F.coalesce("_kept", F.lit(0))
+    return planned_counts(samples, runs).join(kept, "run_id", "left").select("run_id", "planned", failed.alias("failed"))
+
+
 def _result(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     lead = [k for k in keys if k not in schemas.RESULT_COLUMNS]
     return scored.select(*lead, *schemas.RESULT_COLUMNS)

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from verdictlake.llm import decontaminate, editprint, lm, quality, simhash, substrings, text, tokens, toxicity
@@ -198,6 +199,52 @@ def test_a_filter_above_the_bound_is_asked_in_parts_and_scores_the_same(spark, t
     assert sorted((str(r.doc_id), round(r.score, 6)) for r in dealt) == sorted((str(r.doc_id), round(r.score, 6)) for r in whole)
 
 
+def test_no_task_is_sent_the_filter_and_each_n_gram_is_asked_once(spark, table, prose, monkeypatch):
+    rows = [(k, prose(80, k % 40) if k % 4 else prose(60, k)) for k in range(160)] + [(500 + k, t) for k, t in enumerate(ODD)]
+    want = lm.scores(table(rows)).collect()
+    sent, written = [], {}
+    broadcast, saved = type(spark.sparkContext).broadcast, lm.saved
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(len(cloudpickle.dumps(value))) or broadcast(self, value))
+    monkeypatch.setattr(lm, "saved", lambda df, label, *options: written.setdefault(label, saved(df, label, *options)))
+    monkeypatch.setattr(lm, "SCORE_SLICE", 1 << 13)
+    got = lm.scores(table(rows)).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted((str(r.doc_id), round(r.score, 6)) for r in want)
+    # Texts travel compressed, in chunks of a bounded size.
+    chunks = written["chunks"].collect()
+    texts = [lm.unpacked(pa.scalar(bytes(r.data))) for r in chunks]
+    assert len(chunks) > 4 and sum(len(t) for t in texts) == len(rows)
+    assert max(len(r.data) for r in chunks) < 1 << 13
+    # Two bytes of answer for each distinct word of a chunk, one for each distinct pair.
+    answers = Counter()
+    for r in written["answers"].collect():
+        answers[r.chunk, r.kind] += len(r.levels)
+    for r, own in zip(chunks, texts, strict=True):
+        split = [WORD.findall(lower(t.decode())) + [" "] for t in own.column(1).to_pylist()]
+        assert answers[r.chunk, 0] == 2 * len({w for ws in split for w in ws})
+        assert answers[r.chunk, 1] == len({p for ws in split for p in zip(ws, ws[1:], strict=False)})
+    # A filter of 3 MB is made in the tasks that ask it.
+    monkeypatch.setattr(lm, "BITS_PER_TOKEN", 2000)
+    sent.clear()
+    assert lm.scores(table(rows)).count() == len(rows)
+    assert max(sent, default=0) < 1 << 19
+
+
+def test_n_grams_travel_in_few_bytes_and_arrive_the_same():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 5000, 1_000_000):
+        gram = np.unique(np.append(rng.integers(0, 1 << 64, size, dtype=np.uint64), np.uint64((1 << 64) - 1)))
+        n = rng.integers(0, 300, len(gram))
+        sent = lm.travelling(gram, n, 1, 7, 640, 4)
+        column = {name: sent.column(name) for name in sent.schema.names}
+        length = column["size"].to_numpy()
+        assert (lm.arrived(column["first"].to_numpy(), length, column["grams"].to_pylist()) == gram).all()
+        assert (lm.from_low_bytes(column["counts"].to_pylist(), length) == n.astype(np.uint64)).all()
+        assert (column["at"].to_numpy() == np.cumsum(length) - length).all()
+        # All n-grams of a row are of its part.
+        assert (np.repeat(column["part"].to_numpy(), length) == lm.slice_of(gram, 640).astype(np.int64) // 4).all()
+    assert sum(map(len, column["grams"].to_pylist())) <= 6 * len(gram)
+
+
 def test_filter_levels_are_never_too_low(spark, prose):
     rng = np.random.default_rng(5)
     gram = np.unique(rng.integers(0, 1 << 62, 4000).astype(np.uint64))

@@ -229,6 +229,13 @@ def test_no_task_is_sent_the_filter_and_each_n_gram_is_asked_once(spark, table,
     assert max(sent, default=0) < 1 << 19
 
 
+def test_chunks_of_empty_texts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SCORE_SLICE", 5000)
+    docs = spark.range(20_000).selectExpr("id AS doc", "CAST('' AS BINARY) AS text", "false AS held").coalesce(1)
+    sizes = [len(lm.unpacked(pa.scalar(bytes(r.data)))) for r in lm.packed(docs).collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 12_000
+
+
 def test_n_grams_travel_in_few_bytes_and_arrive_the_same():
     rng = np.random.default_rng(3)
     for size in (1, 2, 5000, 1_000_000):

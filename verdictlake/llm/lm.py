@@ -252,7 +252,8 @@ def packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column(1), SCORE_SLICE):
                 own = batch.slice(a, b - a)
-                more = pc.sum(pc.binary_length(own.column(1))).as_py() or 0
+                # A byte more for each text's end token: a chunk of empty texts has its bound too.
+                more = len(own) + (pc.sum(pc.binary_length(own.column(1))).as_py() or 0)
                 if held and size + more > SCORE_SLICE:
                     yield held
                     held, size = [], 0

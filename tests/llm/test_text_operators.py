@@ -199,12 +199,20 @@ def test_a_filter_above_the_bound_is_asked_in_parts_and_scores_the_same(spark, t
     assert sorted((str(r.doc_id), round(r.score, 6)) for r in dealt) == sorted((str(r.doc_id), round(r.score, 6)) for r in whole)
 
 
-def test_no_task_is_sent_the_filter_and_each_n_gram_is_asked_once(spark, table, prose, monkeypatch):
+def test_no_task_is_sent_the_filter(spark, table, prose, monkeypatch):
+    rows = [(k, prose(80, k)) for k in range(160)]
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(len(cloudpickle.dumps(value))) or broadcast(self, value))
+    # A filter of 3 MB.
+    monkeypatch.setattr(lm, "BITS_PER_TOKEN", 2000)
+    assert lm.scores(table(rows)).count() == len(rows)
+    assert max(sent, default=0) < 1 << 19
+
+
+def test_each_n_gram_of_a_chunk_is_asked_once(table, prose, monkeypatch):
     rows = [(k, prose(80, k % 40) if k % 4 else prose(60, k)) for k in range(160)] + [(500 + k, t) for k, t in enumerate(ODD)]
     want = lm.scores(table(rows)).collect()
-    sent, written = [], {}
-    broadcast, saved = type(spark.sparkContext).broadcast, lm.saved
-    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(len(cloudpickle.dumps(value))) or broadcast(self, value))
+    written, saved = {}, lm.saved
     monkeypatch.setattr(lm, "saved", lambda df, label, *options: written.setdefault(label, saved(df, label, *options)))
     monkeypatch.setattr(lm, "SCORE_SLICE", 1 << 13)
     got = lm.scores(table(rows)).collect()
@@ -222,11 +230,6 @@ def test_no_task_is_sent_the_filter_and_each_n_gram_is_asked_once(spark, table,
         split = [WORD.findall(lower(t.decode())) + [" "] for t in own.column(1).to_pylist()]
         assert answers[r.chunk, 0] == 2 * len({w for ws in split for w in ws})
         assert answers[r.chunk, 1] == len({p for ws in split for p in zip(ws, ws[1:], strict=False)})
-    # A filter of 3 MB is made in the tasks that ask it.
-    monkeypatch.setattr(lm, "BITS_PER_TOKEN", 2000)
-    sent.clear()
-    assert lm.scores(table(rows)).count() == len(rows)
-    assert max(sent, default=0) < 1 << 19
 
 
 def test_chunks_of_empty_texts_are_bounded(spark, monkeypatch):
